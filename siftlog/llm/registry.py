@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, host_rules, langid, packing, pivot_index, quality_mil, simhash_trie, token_store, toxicity
+from . import bpe, host_rules, langid, line_dedup, packing, pivot_index, quality_mil, simhash_trie, token_store, toxicity
 from .common import read_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.apply_rules(read_documents(spark, sf_dir)).drop("host_rate")
 
 
+def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(read_documents(spark, sf_dir)).select("doc_id", "text")
+
+
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir), ids=False)
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op3_pivot_permutation": op3_pivot_permutation,
     "op4_attention_mil": op4_attention_mil,
     "op5_host_rules": op5_host_rules,
+    "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_harmonic_packing": op7_harmonic_packing,
     "op8_simhash_trie": op8_simhash_trie,
     "op9_language_mixture": op9_language_mixture,
