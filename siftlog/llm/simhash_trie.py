@@ -55,13 +55,15 @@ def fingerprint(text: str, words: int = WORDS, block: int = 1 << 15) -> int:
 def fingerprint_batches(batches, words: int):
     for batch in batches:
         prints = np.array([fingerprint(t, words) for t in texts_of(batch.column("text"))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+        rest = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), pa.array(prints)], [*rest, "fp"])
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp); fp is the fingerprint as a signed long."""
+    """``docs`` with fp, the fingerprint as a signed long, in place of the text."""
     bound_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(remote(__name__, "fingerprint_batches", words=words), "doc_id long, fp long")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "fp long"])
+    return docs.mapInArrow(remote(__name__, "fingerprint_batches", words=words), schema)
 
 
 def trie_pairs(a: np.ndarray, b: np.ndarray, depth: int, budget: int, same: bool):
@@ -207,7 +209,7 @@ def links(prints: DataFrame, distinct: int, budget: int = BUDGET) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
-    prints = written(fingerprints(docs, words), "fingerprints")
+    prints = written(fingerprints(docs.select("doc_id", "text"), words), "fingerprints")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")), "classes")
     sizes = classes.agg(F.count("*"), F.sum("rows")).first()
     joined = connected_components(links(classes.select("fp"), sizes[0], budget))
@@ -219,3 +221,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: that of the least doc_id (nulls
+    last), ties broken by the row's hash. All columns are kept.
+
+    The groups are found on ids and fingerprints; only their verdict, a row for each document
+    that stays, meets the texts again.
+    """
+    names = docs.columns
+    key = F.xxhash64("doc_id", "text")
+    prints = written(fingerprints(docs.select("doc_id", key.alias("_key"), "text"), words), "keyed-prints")
+    classes = written(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key")).alias("first")), "first-prints")
+    joined = connected_components(links(classes.select("fp"), classes.count(), budget)).withColumnRenamed("node", "fp")
+    heads = classes.join(joined, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
+    stay = heads.select(F.col("first._key").alias("_key"))
+    kept = docs.withColumn("_key", key).join(stay, "_key", "left_semi")
+    return kept.dropDuplicates(["_key"]).select(*names)
