@@ -15,6 +15,7 @@ import hashlib
 import json
 import os
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -159,44 +160,49 @@ def merge_forest(words: np.ndarray, lengths: np.ndarray, table: PairTable) -> np
     """
     m, width = words.shape
     size = width - 1
+    shift = size.bit_length() - 1
     place = np.arange(size)
-    inside = place[None, :] < (lengths - 1)[:, None]
     tree = np.full((m, 2 * size), NONE, np.int64)
     leaf = table.leaves(words[:, :-1], words[:, 1:], place[None, :], size)
-    tree[:, size:] = np.where(inside, leaf, NONE)
+    leaf[place[None, :] >= (lengths - 1)[:, None]] = NONE
+    tree[:, size:] = leaf
     k = size // 2
     while k:
-        tree[:, k : 2 * k] = np.minimum(tree[:, 2 * k : 4 * k : 2], tree[:, 2 * k + 1 : 4 * k : 2])
+        np.minimum(tree[:, 2 * k : 4 * k : 2], tree[:, 2 * k + 1 : 4 * k : 2], out=tree[:, k : 2 * k])
         k //= 2
-    after = np.tile(np.arange(1, width + 1), (m, 1))
-    before = np.tile(np.arange(-1, width - 1), (m, 1))
+    # flat views: a row's symbols start at row * width, its nodes at row * 2 * size
+    symbols, nodes = words.reshape(-1), tree.reshape(-1)
+    after = np.tile(np.arange(1, width + 1, dtype=np.int32), m)
+    before = np.tile(np.arange(-1, width - 1, dtype=np.int32), m)
     rows = np.flatnonzero(tree[:, 1] != NONE)
     while len(rows):
-        root = tree[rows, 1]
-        i = root % size
-        j = after[rows, i]
-        new = table.made[root // size]
-        words[rows, i] = new
-        words[rows, j] = -1
-        k = after[rows, j]
-        after[rows, i] = k
-        more = k < lengths[rows]
-        r, kk = rows[more], k[more]
-        before[r, kk] = i[more]
-        tree[rows, size + i] = NONE
-        tree[r, size + i[more]] = table.leaves(new[more], words[r, kk], i[more], size)
-        held = j < size
-        tree[rows[held], size + j[held]] = NONE
-        p = before[rows, i]
-        left = p >= 0
-        r, pp = rows[left], p[left]
-        tree[r, size + pp] = table.leaves(words[r, pp], new[left], pp, size)
-        changed_rows = np.concatenate([rows, rows[held], r])
-        node = np.concatenate([size + i, size + j[held], size + pp]) >> 1
-        while node[0]:
-            tree[changed_rows, node] = np.minimum(tree[changed_rows, 2 * node], tree[changed_rows, 2 * node + 1])
-            node = node >> 1
-        rows = rows[tree[rows, 1] != NONE]
+        s, t = rows * width, rows * (2 * size)
+        root = nodes[t + 1]
+        i = root & (size - 1)
+        j = after[s + i].astype(np.int64)
+        new = table.made[root >> shift]
+        k = after[s + j].astype(np.int64)
+        symbols[s + i] = new
+        symbols[s + j] = -1
+        after[s + i] = k
+        more = np.flatnonzero(k < lengths[rows])
+        sm, km, im = s[more], k[more], i[more]
+        before[sm + km] = im
+        nodes[t + size + i] = NONE
+        nodes[t[more] + size + im] = table.leaves(new[more], symbols[sm + km], im, size)
+        held = np.flatnonzero(j < size)
+        nodes[t[held] + size + j[held]] = NONE
+        p = before[s + i].astype(np.int64)
+        left = np.flatnonzero(p >= 0)
+        pl = p[left]
+        nodes[t[left] + size + pl] = table.leaves(symbols[s[left] + pl], new[left], pl, size)
+        base = np.concatenate([t, t[held], t[left]])
+        node = np.concatenate([size + i, size + j[held], size + pl]) >> 1
+        for _ in range(shift):
+            kids = base + 2 * node
+            nodes[base + node] = np.minimum(nodes[kids], nodes[kids + 1])
+            node >>= 1
+        rows = rows[nodes[t + 1] != NONE]
     return words
 
 
@@ -229,8 +235,9 @@ class Codec:
         symbols = [inner[b] for b in raw[:-1]] + [last[raw[-1]]]
         return merge_symbols([s for s in symbols if s is not None], self.ranks)
 
-    def word_batch(self, words: list[str]) -> list[list[int]]:
-        """Ids of many words; words of a like length share a forest of trees."""
+    def word_batch(self, words: list[str]) -> list[bytes]:
+        """Ids of many words, as little-endian unsigned 32-bit integers; words of a like
+        length share a forest of trees."""
         raw = [w.encode() for w in words]
         out: list = [None] * len(words)
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -240,7 +247,7 @@ class Codec:
             at = np.flatnonzero(classes == c)
             if c > 7 or not whole:  # few and long, or symbols that the vocabulary lacks
                 for k in at:
-                    out[k] = self.word(words[k])
+                    out[k] = np.array(self.word(words[k]), "<u4").tobytes()
                 continue
             size = 1 << int(c)
             for cut in range(0, len(at), FOREST // size + 1):
@@ -252,8 +259,8 @@ class Codec:
                 ids[np.arange(size + 1)[None, :] >= n[:, None]] = -1
                 merged = merge_forest(ids, n, self.table)
                 keep = merged >= 0
-                ends = np.cumsum(keep.sum(1)).tolist()
-                flat_ids = merged[keep].tolist()
+                ends = (4 * np.cumsum(keep.sum(1))).tolist()
+                flat_ids = merged[keep].astype("<u4").tobytes()
                 start = 0
                 for k, end in zip(part.tolist(), ends):
                     out[k] = flat_ids[start:end]
@@ -314,7 +321,7 @@ class ChunkMemo(dict):
         ids = dict(zip(words, self.codec.word_batch(words)))
         made = self.made
         for chunk, p in zip(lacking, pieces):
-            self[chunk] = made(ids[p[0]] if len(p) == 1 else [i for w in p for i in ids[w]])
+            self[chunk] = made(ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p]))
 
     def parts(self, texts: list[str]):
         """For each text the list of what was made of its chunks and special strings."""
@@ -334,7 +341,7 @@ class ChunkMemo(dict):
                 out: list = []
                 for k, s in enumerate(segments):
                     if k % 2:
-                        out.append(self.made([self.codec.special[s]]))
+                        out.append(self.made(np.array([self.codec.special[s]], "<u4").tobytes()))
                     else:
                         out += map(get, s)
                 yield out
@@ -344,12 +351,17 @@ def as_text(codec: Codec):
     """Ids as decimal text and decoded text, both joined by blanks."""
     text = [str(i) for i in range(max(codec.token) + 1)].__getitem__
     token = codec.token.__getitem__
-    return lambda ids: (" ".join(map(text, ids)), " ".join(map(token, ids)))
+
+    def made(raw: bytes) -> tuple[str, str]:
+        ids = struct.unpack(f"<{len(raw) // 4}I", raw)
+        return " ".join(map(text, ids)), " ".join(map(token, ids))
+
+    return made
 
 
 def as_bytes(codec: Codec):
-    """Ids as little-endian unsigned 32-bit integers."""
-    return lambda ids: np.array(ids, "<u4").tobytes()
+    """Ids as they are: little-endian unsigned 32-bit integers."""
+    return lambda raw: raw
 
 
 @lru_cache(maxsize=4)
