@@ -41,7 +41,7 @@ def logtype(message: Column) -> Column:
     escape in the constant text are escaped. Built-in expressions alone."""
     # cut the message at its variables and lay escaped constants and placeholders together
     constants = F.split(message, VARIABLE, -1)
-    escaped = F.transform(constants, lambda c: F.regexp_replace(c, "([\\x11\\x12\\x13\\\\])", "\\\\\\\\$1"))
+    escaped = F.transform(constants, lambda c: F.regexp_replace(c, "([\\x11\\x12\\x13\\\\])", "\\\\$1"))
     kinds = F.transform(variables(message), lambda v: F.when(variable_kind(v) == "int", F.lit(INT)).when(variable_kind(v) == "float", F.lit(FLOAT)).otherwise(F.lit(TEXT)))
     return F.concat(F.array_join(F.zip_with(F.slice(escaped, 1, F.size(kinds)), kinds, lambda c, k: F.concat(c, k)), ""), F.element_at(escaped, -1))
 
@@ -97,7 +97,7 @@ def schema_variables(message: Column, schema: dict[str, str]) -> Column:
     matches in the message. A capture group, if there is one, is what counts."""
     entries = []
     for name, expression in schema.items():
-        group = 1 if re.compile(expression).groups else 0
+        group = 1 if re.compile(re.sub(r"\(\?<(\w+)>", r"(?P<\1>", expression)).groups else 0
         entries += [F.lit(name), F.regexp_extract_all(message, F.lit(expression), F.lit(group))]
     return F.create_map(*entries)
 

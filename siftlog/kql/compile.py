@@ -22,6 +22,8 @@ from .parser import EQ, EXISTS, GE, GT, LE, LT, And, KqlError, Leaf, Literal, No
 
 #: Arrays within arrays that a predicate descends into.
 ARRAY_DEPTH = 3
+#: Marks, in a table of paths, a column's paths within arrays.
+IN_ARRAYS = "[]"
 
 
 def any_of(columns: list[Column]) -> Column:
@@ -79,7 +81,8 @@ def scope_of(
                 if not isinstance(df.schema[n].dataType, T.VariantType):
                     column = F.try_parse_json(column)
                 known = (paths or {}).get(n)
-                roots.append(JsonRoot(() if strip or n == root else (n,), column, None if known is None else tuple(map(tuple, known))))
+                inside = tuple(map(tuple, (paths or {}).get(n + IN_ARRAYS, ())))
+                roots.append(JsonRoot(() if strip or n == root else (n,), column, None if known is None else tuple(map(tuple, known)), inside))
         return Scope(typed, roots, {}, ignore_case)
 
     main = make([n for n in df.columns if n not in away], False)
@@ -96,7 +99,9 @@ def lookup_paths(df: DataFrame, json_columns: tuple[str, ...]) -> dict[str, list
             column = F.col(quoted(f.name))
             if not isinstance(f.dataType, T.VariantType):
                 column = F.try_parse_json(column)
-            out[f.name] = [tuple(r["path"]) for r in discover(df, column).select("path").distinct().collect()]
+            found = discover(df, column).select("path", "in_array").distinct().collect()
+            out[f.name] = [tuple(r["path"]) for r in found if not r["in_array"]]
+            out[f.name + IN_ARRAYS] = sorted({tuple(r["path"]) for r in found if r["in_array"]} - set(out[f.name]))
     return out
 
 
@@ -299,7 +304,8 @@ def targets(scope: Scope, path: Path, op: str, literal: Literal) -> list[Target]
         if path.wild:
             if root.paths is None:
                 raise KqlError("key wildcards and bare values need the paths of the JSON columns")
-            out += [variant_target(root, p, op, literal, scope.ignore_case) for p in root.paths if path_matches(path.tokens, root.tokens + p)]
+            known = root.paths + root.inside if path.pure else root.paths
+            out += [variant_target(root, p, op, literal, scope.ignore_case) for p in known if path_matches(path.tokens, root.tokens + p)]
         elif path.tokens[: len(root.tokens)] == root.tokens:
             out.append(variant_target(root, path.tokens[len(root.tokens) :], op, literal, scope.ignore_case))
     return out

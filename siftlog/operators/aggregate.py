@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.catalog import quoted, type_tag, variant_at
+from ..plans.catalog import json_field, quoted, type_tag
 from .search import ArgumentError, epoch_millis
 
 INTS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -33,8 +33,8 @@ def field_parts(df: DataFrame, name: str, json_column: str | None = None) -> dic
     if not name or "*" in tokens:
         raise ArgumentError("an aggregated field has a name without wildcards")
     null = F.lit(None)
-    if json_column and tokens[0] not in df.columns:
-        v = variant_at(F.col(quoted(json_column)), tokens)
+    v = json_field(df, json_column, tokens)
+    if v is not None:
         tag = type_tag(v)
         return {
             "int": F.when(tag == "BIGINT", F.try_variant_get(v, "$", "bigint")),

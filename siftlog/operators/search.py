@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions import wildcard
 from ..functions.timestamps import timestamp_ns
 from ..kql.parser import path_of
-from ..plans.catalog import quoted, variant_at
+from ..plans.catalog import json_field, quoted, variant_at
 
 TIME_TYPES = (T.TimestampType, T.TimestampNTZType)
 
@@ -102,8 +102,9 @@ def project(df: DataFrame, columns: list[str], json_column: str | None = None, a
         if path.tokens in seen and not allow_duplicates:
             raise ArgumentError(f"{name!r} is projected twice")
         seen.add(path.tokens)
-        if json_column is not None and path.tokens[0] not in df.columns:
-            out.append(variant_at(F.col(quoted(json_column)), path.tokens).alias(name))
+        field = json_field(df, json_column, path.tokens) if len(path.tokens) > 1 or path.tokens[0] not in df.columns else None
+        if field is not None:
+            out.append(field.alias(name))
             continue
         dtype: T.DataType = df.schema
         column = None

@@ -23,11 +23,13 @@ class TypedLeaf:
 
 @dataclass(frozen=True)
 class JsonRoot:
-    """A VARIANT column, and the leaf paths known to be in it (None: not looked up)."""
+    """A VARIANT column, and the leaf paths known to be in it (None: not looked up); ``inside``
+    has those that only a bare value reaches, within arrays."""
 
     tokens: tuple[str, ...]
     column: Column
     paths: tuple[tuple[str, ...], ...] | None = None
+    inside: tuple[tuple[str, ...], ...] = ()
 
 
 def quoted(name: str) -> str:
@@ -66,28 +68,41 @@ def variant_at(column: Column, tokens: tuple[str, ...]) -> Column:
     return F.try_variant_get(column, variant_path(tokens), "variant") if tokens else column
 
 
+def json_field(df: DataFrame, json_column: str | None, tokens: tuple[str, ...]) -> Column | None:
+    """The variant under a dotted name: below the JSON column if the name begins with it, and
+    else among its top-level keys. None if the name is that of another column."""
+    if json_column is None or tokens[0] in df.columns and tokens[0] != json_column:
+        return None
+    column = F.col(quoted(json_column))
+    if isinstance(df.schema[json_column].dataType, T.StringType):
+        column = F.try_parse_json(column)
+    return variant_at(column, tokens[1:] if tokens[0] == json_column else tokens)
+
+
 def type_tag(column: Column) -> Column:
     """Type of a variant's value, without the types of what is inside."""
     return F.regexp_extract(F.schema_of_variant(column), r"^[A-Z]+", 0)
 
 
 def discover(df: DataFrame, column: Column, depth: int = MAX_DEPTH) -> DataFrame:
-    """(path, type) of every leaf in a VARIANT column: path is an array of keys. Arrays and
-    empty objects are leaves. One pass a level, over distinct paths only after each; a level
-    without objects ends it."""
+    """(path, type, in_array) of every leaf in a VARIANT column: path is an array of keys. Arrays
+    and empty objects are leaves; what is inside arrays is listed as well, and marked. Each
+    level is one pass; a level with nothing to open ends it."""
     spark = df.sparkSession
-    empty = F.array().cast("array<string>")
-    level = df.select(column.alias("v")).where("v IS NOT NULL").select(empty.alias("path"), "v")
+    level = df.select(F.array().cast("array<string>").alias("path"), column.alias("v"), F.lit(False).alias("in_array")).where("v IS NOT NULL")
     found: DataFrame | None = None
     for _ in range(depth):
         level.createOrReplaceTempView("_siftlog_level")
-        # a lateral explode of one object gives its keys and values
-        opened = spark.sql("SELECT concat(path, array(e.key)) AS path, e.value AS v FROM _siftlog_level, LATERAL variant_explode(v) AS e WHERE e.key IS NOT NULL")
+        # a lateral explode gives the keys and values of an object, the elements of an array
+        opened = spark.sql(
+            "SELECT CASE WHEN e.key IS NULL THEN path ELSE concat(path, array(e.key)) END AS path, e.value AS v, in_array OR e.key IS NULL AS in_array"
+            " FROM _siftlog_level, LATERAL variant_explode(v) AS e"
+        )
         tagged = opened.withColumn("type", type_tag(F.col("v")))
         inner = (F.col("type") == "OBJECT") & (F.schema_of_variant("v") != "OBJECT<>")
-        leaves = tagged.where(~inner).select("path", "type").distinct()
+        leaves = tagged.where(~inner & (F.size("path") > 0)).select("path", "type", "in_array").distinct()
         found = leaves if found is None else found.union(leaves)
-        level = tagged.where(inner).select("path", "v")
+        level = tagged.where(inner | (F.col("type") == "ARRAY")).select("path", "v", "in_array")
         if level.isEmpty():
             break
     return found.distinct()
@@ -102,7 +117,7 @@ def column_index(df: DataFrame, json_columns: tuple[str, ...] = ()) -> DataFrame
         column = F.col(quoted(name))
         if not isinstance(df.schema[name].dataType, T.VariantType):
             column = F.try_parse_json(column)
-        paths = discover(df, column)
+        paths = discover(df, column).where(~F.col("in_array"))
         out = out.union(paths.select(F.concat_ws(".", F.array(F.lit(name)), "path").alias("name"), F.lower("type").alias("type")))
     return out
 
