@@ -109,7 +109,7 @@ def needs_paths(tree: object) -> bool:
     return any(leaf.path.wild for leaf in leaves(tree))
 
 
-# --- predicates on one value ---------------------------------------------------------
+# -- predicates on one value
 
 
 def int_test(column: Column, op: str, literal: Literal) -> Column | None:
@@ -240,7 +240,7 @@ def variant_test(v: Column, tokens: tuple[str, ...], op: str, literal: Literal,
     return any_of(found)
 
 
-# --- leaves of a query ---------------------------------------------------------------
+# -- leaves of a query
 
 
 def path_matches(pattern: tuple[str, ...], tokens: tuple[str, ...]) -> bool:

@@ -45,7 +45,7 @@ def events_engine(spark: SparkSession, sf_dir: str) -> Engine:
     return engine
 
 
-# --- the query language ---------------------------------------------------------------
+# -- the query language
 
 KQL = {
     "kql_eq": ("event_type: error", "event_type = 'error'"),
@@ -157,7 +157,7 @@ def text_time_controls(spark, sf_dir):
     return search.text_search(table(spark, sf_dir, "events"), "7", "props", time_column="ts", tgt=1704844800000, tlt=1705017600000).select("event_id")
 
 
-# --- text ---------------------------------------------------------------------------
+# -- text
 
 
 @query("text_search", "SELECT doc_id, lang FROM documents WHERE text LIKE '%the%of%'")
@@ -237,7 +237,7 @@ def multiline_events(spark, sf_dir):
     return events.select(F.col("orig_file_path").cast("long").alias("event_ix"), F.size(F.split("message", "\n")).cast("long").alias("n_lines"))
 
 
-# --- projection, aggregations, order ------------------------------------------------------
+# -- projection, aggregations, order
 
 
 @query("project", f"SELECT event_id, {K} AS k FROM events")
@@ -340,7 +340,7 @@ def multi_dataset(spark, sf_dir):
     return engine.search(["errors", "views"], "value > 5").select("dataset", "event_id")
 
 
-# --- metadata ------------------------------------------------------------------------
+# -- metadata
 
 _ARCHIVES = f"SELECT strftime(ts, '%Y-%m-%d') AS id, min({MS}) AS begin_timestamp, max({MS}) AS end_timestamp, CAST(sum(strlen(props)) AS BIGINT) AS uncompressed_size, count(*) AS size FROM events GROUP BY 1"
 
@@ -419,10 +419,10 @@ def ts_parse(spark, sf_dir):
 @query("ts_parse_pattern", "SELECT event_id, epoch_us(date_trunc('second', ts)) * 1000 AS ts_ns FROM events")
 def ts_parse_pattern(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.select("event_id", timestamps.parse_column(F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), r"\d/\B{Jan,Feb,Mar,Apr,May,Jun,Jul,Aug,Sep,Oct,Nov,Dec}/\Y:\H:\M:\S").alias("ts_ns"))
+    return e.select("event_id", timestamps.parse_column(F.date_format("ts", "dd/MMM/yyyy:HH:mm:ss"), "\\d/\\B{" + ",".join(timestamps.MONTHS) + "}/\\Y:\\H:\\M:\\S").alias("ts_ns"))
 
 
-# --- guided SQL -----------------------------------------------------------------------
+# -- guided SQL
 
 
 @query("guided_search", "SELECT event_id, value FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' AND (value > 5 OR event_type = 'view') ORDER BY ts DESC, event_id LIMIT 300")
@@ -454,7 +454,7 @@ def sql_groups_frame(spark, sf_dir):
     return spark.sql(GROUPS_SQL.format(key="user_id % 50", value="user_id", columns="event_id", table="events", before=1, after=0, name="s")).select("event_id", F.col("s").cast("long").alias("s"))
 
 
-# --- SQL over the star schema: text that both engines read, or a pair where they differ --------
+# -- SQL over the star schema: text that both engines read, or a pair where they differ
 
 STAR: dict[str, str | tuple[str, str]] = {
     "sql_join_inner": "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",

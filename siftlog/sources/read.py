@@ -94,8 +94,9 @@ def read_text_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 #: A date at the start of a line, as most logs have it; what else parses is asked of Python.
-ISO_START = r"^[\[<]{0,4}\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}"
-OTHER_START = r"^(\[?\d{8}-\d{2}:\d{2}:\d{2}|\d{6}[T ][ \d]\d:\d{2}:\d{2}|\[?\d{2}[-/ ]([A-Z][a-z]{2}|\d{2})[-/ ]|[A-Z][a-z]{2,8},? [\dA-Z ]|\d{2}[- ]\d{2} \d{2}:)"
+_TIME = ":".join([r"\d\d"] * 3)
+ISO_START = r"^[\[<]{0,4}\d{4}[-/]\d\d[-/]\d\d[T ]" + _TIME
+OTHER_START = r"^(\[?\d{8}-" + _TIME + r"|\d{6}[T ][ \d]\d:|\[?\d\d[-/ ]([A-Z][a-z]{2}|\d\d)[-/ ]|[A-Z][a-z]{2,8},? [\dA-Z ]|\d\d[- ]\d\d \d\d:)"
 
 
 def group_events(lines: DataFrame) -> DataFrame:

@@ -26,11 +26,11 @@ def to_network(df: DataFrame, send: Callable[[Iterator[Row]], None]) -> None:
     df.select(*RESULT_COLUMNS).foreachPartition(send)
 
 
-def to_results(df: DataFrame, path: str, k: int, dataset: str | None = None) -> None:
+def to_results(df: DataFrame, path: str, k: int, dataset: str = "") -> None:
     """The newest k results as a table that ``read_results`` reads."""
     newest = df.orderBy(F.desc_nulls_last("timestamp"), "archive_id", "log_event_ix").limit(k)
     identity = F.concat_ws("-", "archive_id", "log_event_ix")
-    newest.select(identity.alias("id"), *RESULT_COLUMNS, F.lit(dataset).cast("string").alias("dataset")).write.mode("overwrite").parquet(path)
+    newest.select(identity.alias("id"), *RESULT_COLUMNS, F.lit(dataset or None).cast("string").alias("dataset")).write.mode("overwrite").parquet(path)
 
 
 def tagged(aggregate: DataFrame, archive_id: str) -> DataFrame:

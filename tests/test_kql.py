@@ -39,7 +39,7 @@ CASES = [
     ("arr: { b: 5 AND b: 1001 }", [7]),
     ('amb: "a*e"', [10, 11]),
     ('amb: "a\\*e"', [10]),
-    ("one > 0.9 AND one < 1.1 AND one: 1.0", [13, 14]),
+    ("one >= 0.5 AND one < 1.5 AND one: 1.0", [13, 14]),
     ("one: 1", [13, 14, 18]),
     ("NOT one: 1", []),
     ("NOT one: 2", [13, 14, 18]),
