@@ -87,12 +87,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     """``df`` as a table in the shared folder: its lineage is cut, and a lost executor
-    costs nothing that was already computed."""
+    costs nothing that was already computed. release: the shuffle files behind it, which
+    nothing reads any more, go at once and not when the driver next collects garbage."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     # the rows just written tell the schema; no footer is read for it
     return spark.read.schema(df.schema).parquet(path)
 
