@@ -1,9 +1,11 @@
 """Operator 3: near-duplicate embeddings by a pivot-permutation index.
 
-Reference points are drawn from the data, about PIVOT_ROOT times the square root of the rows.
+Reference points are drawn from the data, about PIVOT_ROOT times the square root of the rows,
+and thinned so that no two are of cosine APART or more: else a large group of near copies
+would hold many pivots of its own, which its members rank by noise alone.
 A vector is described by its PREFIX nearest ones in order, and stands in the inverted list
-of each of them, within its label. Vectors of a list that share at least SHARED pivots are
-candidates, and their cosine in double precision decides. A pair is settled in the list
+of each of them, within its label. Vectors of a list that share at least SHARED pivots (all,
+where there are fewer) are candidates, and their cosine in double precision decides. A pair is settled in the list
 of the least pivot it shares, so none counts twice.
 
 Equal vectors of a label are one entry with a multiplicity. Lists of over BLOCK entries are
@@ -35,13 +37,26 @@ MOST_PIVOTS = 1 << 16
 PREFIX = 10
 SHARED = 2
 BLOCK = 1024
+#: Pivots are less alike than this.
+APART = 0.86
 
 
 def pivots(vectors: DataFrame, rows: int) -> np.ndarray:
     """Unit vectors, drawn by hash; how many follows the number of rows and is bounded."""
     want = int(max(PREFIX, min(MOST_PIVOTS, math.ceil(PIVOT_ROOT * math.sqrt(max(rows, 1))))))
     drawn = vectors.select("unit").distinct().orderBy(F.xxhash64("unit"), "unit").limit(want).collect()
-    return np.array([r["unit"] for r in drawn], np.float64)
+    return thinned(np.array([r["unit"] for r in drawn], np.float64))
+
+
+def thinned(points: np.ndarray) -> np.ndarray:
+    """``points`` in their order, less those of cosine APART or more to one that stays."""
+    kept = np.empty_like(points)
+    count = 0
+    for x in points:
+        if not (kept[:count] @ x >= APART).any():
+            kept[count] = x
+            count += 1
+    return kept[:count].copy()
 
 
 def prefix_batches(batches, points):
@@ -85,7 +100,8 @@ def block_links(table: pa.Table, limit: float) -> pa.Table:
                 hit |= mine[:, None] == prefix[right, q][None, :]
             shared += hit
             np.minimum(least, np.where(hit, mine[:, None], least), out=least)
-        near = (shared >= SHARED) & (least == pivot)
+        # where hardly a pivot is left all vectors are neighbours
+        near = (shared >= min(SHARED, prefix.shape[1])) & (least == pivot)
         if same:
             near &= (at + np.arange(len(a)))[:, None] < np.arange(len(right))[None, :]
         i, j = np.nonzero(near)
