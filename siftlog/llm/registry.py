@@ -33,7 +33,7 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(read_documents(spark, sf_dir)).select("doc_id", "text")
+    return line_dedup.dedup_lines(read_documents(spark, sf_dir), wide=True).select("doc_id", "text")
 
 
 def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
