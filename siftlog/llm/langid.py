@@ -30,8 +30,6 @@ PENALTY = 4.0
 STEPS = 12
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"
-#: A vocabulary of languages beyond this is cut to the most frequent in the sample's count.
-LANGUAGES = 200
 
 
 def low(texts: list[str]) -> list[bytes]:
@@ -148,7 +146,7 @@ def predict_batches(batches, model):
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     """Learns from rows outside the held-out fold, drawn by hash of the id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", FOLDS) != HELD))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row a language
     if not sizes:
         return fit([], [])
     draw = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -161,7 +159,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with lang_pred, lang_score and lang_set. One pass, no shuffle."""
     spark = docs.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # LANGUAGES times 2^BITS numbers at most
+    shared = spark.sparkContext.broadcast(model)  # 2^BITS numbers a language
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, lang_score double, lang_set array<string>"])
     return docs.mapInArrow(remote(__name__, "predict_batches", model=shared), schema)
 
