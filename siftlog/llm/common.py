@@ -21,9 +21,11 @@ BATCH_ROWS = 512
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _scratch: list[tuple[SparkSession, str]] = []
+#: Candidate rows of a few numbers each up to this many are sent to every worker; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
-def remote(module: str, name: str, **kwargs) -> Callable[[Iterator], Iterator]:
+def remote(module: str, name: str, /, **kwargs) -> Callable[[Iterator], Iterator]:
     """A function for mapInArrow that runs ``module.name(batches, **kwargs)``.
 
     It travels by value and imports the module where it runs, so that caches in the
@@ -97,7 +99,49 @@ def written(df: DataFrame, label: str, release: bool = False) -> DataFrame:
     if release:
         spark.sparkContext._jvm.System.gc()
     # the rows just written tell the schema; no footer is read for it
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` made and that nothing will read any more."""
+    for table in tables:
+        path = table.__dict__.pop("_scratch_path", None)
+        if path:
+            remove(table.sparkSession, path)
+            _scratch.remove((table.sparkSession, path))
+
+
+def free_names(names: list[str], *wanted: str) -> list[str]:
+    """``wanted`` names, each with as many underscores before it as keep it from clashing with
+    ``names``, which Spark compares without case."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def all_columns(names: list[str]) -> list[Column]:
+    """Columns of any names, dots and backticks included."""
+    return [F.col(quoted(n)) for n in names]
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its rows, which are counted, are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def row_identity(df: DataFrame, *columns: str) -> list[Column]:
+    """128 bits that tell rows of different values apart at any number of rows."""
+    return [F.xxhash64(*columns), F.xxhash64(F.lit("row"), *columns)]
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,20 +159,20 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
-def hot_key_join(left: DataFrame, right: DataFrame, key: str, counts: Column, total: int, share: float = 1e-3) -> DataFrame:
-    """Left join on ``key`` (unique in ``right``) where one key may hold a third of ``left``.
+def hot_key_join(left: DataFrame, right: DataFrame, keys: str | list[str], counts: Column, total: int, share: float = 1e-3) -> DataFrame:
+    """Left join on ``keys`` (unique in ``right``) where one key may hold a third of ``left``.
 
     ``counts`` is the column of ``right`` that says how often its key is in ``left``. Keys
     with over ``share`` of the ``total`` rows number 1/share at most, whatever the
     input's size: those few are broadcast, and only rows with other keys are shuffled.
     """
+    keys = [keys] if isinstance(keys, str) else list(keys)
     bar = max(1.0, total * share)
     hot = right.where(counts > F.lit(bar))
-    mark = "_hot_key"
-    marks = hot.select(F.col(key).alias(mark))
-    left = left.join(F.broadcast(marks), F.col(key) == F.col(mark), "left")
-    few = left.where(F.col(mark).isNotNull()).drop(mark).join(F.broadcast(hot), key, "left")
-    rest = left.where(F.col(mark).isNull()).drop(mark).join(right.where(counts <= F.lit(bar)), key, "left")
+    (mark,) = free_names([*left.columns, *right.columns], "_hot_key")
+    left = left.join(F.broadcast(hot.select(*keys, F.lit(True).alias(mark))), keys, "left")
+    few = left.where(F.col(mark).isNotNull()).drop(mark).join(F.broadcast(hot), keys, "left")
+    rest = left.where(F.col(mark).isNull()).drop(mark).join(right.where(counts <= F.lit(bar)), keys, "left")
     return few.unionByName(rest)
 
 
@@ -161,7 +205,8 @@ def connected_components(edges: DataFrame, label: str = "components", rounds: in
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(small, "u")
         nxt = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(linked.select("u", F.col("m").alias("v"))).distinct()
-        current = written(nxt, label)
+        last, current = current, written(nxt, label)
+        forget(last)
         now = state(current)
         if now == seen:
             break
@@ -169,3 +214,53 @@ def connected_components(edges: DataFrame, label: str = "components", rounds: in
     else:
         raise RuntimeError("components did not settle")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+#: Members of a bucket that meet each other within one join key; larger buckets are cut.
+BUCKET_BLOCK = 2048
+
+
+def bucket_links(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], label: str, traits: DataFrame | None = None, admit: Callable[[str, str], Column] | None = None) -> DataFrame:
+    """(a, b), a < b: verified pairs that connect all that the buckets of ``posts`` (id, post) can
+    connect, as a table.
+
+    First every id meets the least one of each of its buckets; only ids of a bucket that this
+    has not brought together meet each other, so a large group of copies costs about its
+    size, and no link is lost. Buckets of two ids, which most are, are pairs outright; the rest of a
+    bucket is cut into blocks of about BUCKET_BLOCK, and each pair of blocks is a join key
+    of its own, so that a hot bucket is spread over tasks and still compared whole.
+
+    admit(l, r): a condition on the columns of ``traits`` (id, ..) at either end of a pair,
+    which spares ``verify`` the pairs that can't pass. posts: read twice.
+    """
+    heads = written(posts.groupBy("post").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1 AND head < last"), f"{label}-buckets", release=True)
+    large = heads.where("n > 2").select("post", "head", "n")
+    shared = written(posts.join(sized(large), "post"), f"{label}-posts", release=True)
+    stars = heads.select(F.col("head").alias("a"), F.col("last").alias("b")).union(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))).distinct()
+    if admit is not None:
+        near = traits.alias("l").join(stars, F.col("l.id") == F.col("a")).join(traits.alias("r"), F.col("r.id") == F.col("b"))
+        stars = near.where(admit("l", "r")).select("a", "b")
+    tried = written(stars, f"{label}-stars", release=True)
+    star = verify(tried)
+    parts = connected_components(star).withColumnRenamed("node", "id")
+    known = shared.join(parts, "id", "left").select("id", "post", "n", F.coalesce("component", "id").alias("part"))
+    known = written(known, f"{label}-parts")
+    split = known.groupBy("post").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("post")
+    rest = known.join(split, "post").withColumn("blocks", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int"))
+    rest = rest.withColumn("own", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks")).cast("int"))
+    if traits is not None:
+        rest = rest.join(traits, "id")
+    rest = rest.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("bi", F.least("own", "peer")).withColumn("bj", F.greatest("own", "peer"))
+    rest = written(rest.drop("blocks", "n", "peer"), f"{label}-rest")
+    left, right = rest.alias("l"), rest.alias("r")
+    meet = (F.col("l.post") == F.col("r.post")) & (F.col("l.bi") == F.col("r.bi")) & (F.col("l.bj") == F.col("r.bj"))
+    # within a block, or one of either block
+    once = (F.col("l.bi") == F.col("l.bj")) | (F.col("l.own") != F.col("r.own"))
+    apart = meet & once & (F.col("l.id") < F.col("r.id")) & (F.col("l.part") != F.col("r.part"))
+    if admit is not None:
+        apart &= admit("l", "r")
+    more = left.join(right, apart).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = written(more, f"{label}-pairs", release=True)
+    found = written(star.union(verify(more)), f"{label}-links", release=True)
+    forget(heads, shared, tried, known, rest, more)
+    return found

@@ -6,10 +6,15 @@ proportions. The language set grows greedily from the best single language, and
 joins only if the likelihood it adds exceeds its penalty (PENALTY times the logarithm of
 the number of segments). The prediction is the language of the largest proportion.
 
-Counts are fitted on a bounded sample, PER_LANGUAGE documents of each language at most;
-every text is read whole. Defined cases: null texts and texts without a letter are ``und``
+Counts are fitted on a bounded sample, PER_LANGUAGE ids of each language and SAMPLE_BYTES
+bytes of text over all languages (but LANGUAGE_BYTES a language) at most, in one task on an
+executor; every text is read whole, in pieces if it is longer than a block. Every language
+value is learned; more than MOST_LANGUAGES of them raise an error, for the model has a row
+of 2^BITS numbers each. Defined cases: null texts and texts without a letter are ``und``
 with score 0, as is everything when nothing could be learned; a null id counts as fold 0;
-rows with a null language teach nothing; extra columns are not read.
+rows with a null language teach nothing, and an id with several languages teaches the least; an
+empty table gives no row; extra columns are not read, and ``keep_identified`` keeps them
+whatever their names.
 """
 
 from __future__ import annotations
@@ -18,13 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bound_batches, fold_of, remote, texts_of
-from .ngrams import LEARN_CHARS, blocks, gram_codes, joined
+from .common import all_columns, bound_batches, fold_of, free_names, remote, texts_of
+from .ngrams import blocks, fitted, gram_codes, joined, longer, sample
 
 GRAM, BITS = 3, 16
 SEGMENT = 64
 PER_LANGUAGE = 3000
+SAMPLE_BYTES, LANGUAGE_BYTES = 32 << 20, 4 << 20
+MOST_LANGUAGES = 512
 SMOOTH = 0.5
 PENALTY = 4.0
 STEPS = 12
@@ -39,7 +47,7 @@ def low(texts: list[str]) -> list[bytes]:
 def fit(texts: list[str], langs: list[str]) -> dict:
     """{languages, logs}: natural logarithms of the smoothed shares, a row a language."""
     names = sorted(set(langs))
-    counts = np.zeros((len(names), 1 << BITS))
+    counts = np.zeros((len(names), 1 << BITS), np.float32)
     number = {x: k for k, x in enumerate(names)}
     of = np.array([number[x] for x in langs], np.int64)
     raw = low(texts)
@@ -47,10 +55,14 @@ def fit(texts: list[str], langs: list[str]) -> dict:
         data, starts = joined(raw[a:b], GRAM)
         code = gram_codes(data, GRAM, BITS)
         lang = np.repeat(of[a:b], np.diff(starts))[: len(code)]
-        for k in range(len(names)):
+        for k in np.unique(lang):
             counts[k] += np.bincount(code[lang == k], minlength=1 << BITS)
-    logs = np.log((counts + SMOOTH) / (counts.sum(1, keepdims=True) + SMOOTH * (1 << BITS))) if names else counts
-    return {"languages": names, "logs": logs.astype(np.float32)}
+    if names:
+        total = counts.sum(1, keepdims=True, dtype=np.float64) + SMOOTH * (1 << BITS)
+        counts += np.float32(SMOOTH)
+        np.log(counts, out=counts)
+        counts -= np.log(total).astype(np.float32)
+    return {"languages": names, "logs": counts}
 
 
 def mixture(like: np.ndarray, starts: np.ndarray, sets: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
@@ -136,32 +148,32 @@ def predict(texts: list[str], model: dict) -> tuple[list[str], list[float], list
     return out
 
 
-def predict_batches(batches, model):
+def predict_batches(batches, model, out: list[str]):
     known = model.value
     for batch in batches:
         lang, score, members = predict(texts_of(batch.column("text")), known)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(members, pa.list_(pa.string()))], [*batch.schema.names, "lang_pred", "lang_score", "lang_set"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(members, pa.list_(pa.string()))], [*batch.schema.names, *out])
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_LANGUAGES) -> dict:
     """Learns from rows outside the held-out fold, drawn by hash of the id."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", FOLDS) != HELD))
-    sizes = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row a language
-    if not sizes:
+    taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_of("doc_id", FOLDS) != HELD))
+    known = taught.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    found = known.groupBy("lang").count().limit(most + 1).collect()  # a row a language
+    if len(found) > most:
+        raise ValueError(f"more than {most} languages to learn; raise MOST_LANGUAGES if a worker can hold 2^{BITS} numbers for each")
+    if not found:
         return fit([], [])
-    draw = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    shares = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    rows = known.where((F.length("text") <= LEARN_CHARS) & (draw < F.coalesce(shares[F.col("lang")], F.lit(0.0)))).select("doc_id", "text", "lang").toArrow().sort_by("doc_id")
-    return fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
+    share = min(LANGUAGE_BYTES, SAMPLE_BYTES // len(found))
+    return fitted(sample(docs, known, "lang", {r[0]: r[1] for r in found}, per_language, share, "lang"), __name__, "lang")
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with lang_pred, lang_score and lang_set. One pass, no shuffle."""
+def identify(docs: DataFrame, model: dict, out: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_set")) -> DataFrame:
+    """``docs`` with the main language, its score, and the set of languages. One pass, no shuffle."""
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # 2^BITS numbers a language
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, lang_score double, lang_set array<string>"])
-    return docs.mapInArrow(remote(__name__, "predict_batches", model=shared), schema)
+    return docs.mapInArrow(remote(__name__, "predict_batches", model=shared, out=list(out)), longer(docs.schema, *zip(out, (T.StringType(), T.DoubleType(), T.ArrayType(T.StringType())))))
 
 
 def languages(docs: DataFrame) -> DataFrame:
@@ -172,9 +184,6 @@ def languages(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.25) -> DataFrame:
     """``docs`` without rows whose language can't be told (``und``) or whose main language
     scores under ``least``; its columns are kept."""
-    names = docs.columns
-    own = {n: f"_own_{n}" for n in ("lang_pred", "lang_score", "lang_set") if n in names}
-    plain = docs.withColumnsRenamed(own) if own else docs
-    found = identify(plain, train(docs.select("doc_id", "text", "lang")))
-    kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= least)).drop("lang_pred", "lang_score", "lang_set")
-    return kept.withColumnsRenamed({v: k for k, v in own.items()}).select(*names) if own else kept.select(*names)
+    lang, score, members = free_names(docs.columns, "lang_pred", "lang_score", "lang_set")
+    found = identify(docs, train(docs.select("doc_id", "text", "lang")), (lang, score, members))
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*all_columns(docs.columns))

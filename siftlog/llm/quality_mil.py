@@ -5,10 +5,12 @@ and neighbouring characters are and by how often words repeat within a few place
 encodes it, gated attention (a tanh and a sigmoid branch) learns from document labels alone
 which passages matter, and the weighted passage representation is scored.
 
-The network is fitted on a bounded sample, PER_CLASS labelled rows of either class at most;
-every row is scored on all its passages. Defined cases: null and empty texts are one blank
-passage; a null id counts as fold 0; without labels of both classes every score is
-the share of label 1 (0.5 without any); extra columns are not read.
+The network is fitted on a bounded sample, PER_CLASS labelled ids of either class and
+CLASS_BYTES bytes of their texts at most, in one task on an executor; every row is scored on
+all its passages. Defined cases: null and empty texts are one blank passage; a null id counts
+as fold 0; several labels of an id count as the largest; without labels of both classes every
+score is the share of label 1 (0.5 without any); the passages of a text of any length are
+encoded some at a time; an empty table gives no row; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -17,12 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bound_batches, fold_of, remote, texts_of
-from .ngrams import blocks, joined, sample
+from .ngrams import BLOCK, blocks, fitted, joined, labelled, longer
 
 PASSAGE = 256
-PER_CLASS = 3000
+PER_CLASS = 2000
+CLASS_BYTES = 4 << 20
 HIDDEN, GATE = 16, 8
 FOLDS, HELD = 3, 1
 LAGS = 4
@@ -84,10 +88,11 @@ def forward(x: np.ndarray, first: np.ndarray, net: dict) -> dict:
     a = e / np.add.reduceat(e, first)[of]
     z = np.add.reduceat(a[:, None] * h, first, axis=0)
     y = 1 / (1 + np.exp(-np.clip(z @ net["c"] + net["b"], -50, 50)))
-    return {"of": of, "h": h, "u": u, "g": g, "a": a, "z": z, "y": y}
+    return {"of": of, "h": h, "u": u, "g": g, "raw": raw, "top": top, "a": a, "z": z, "y": y}
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 40, batch: int = 128, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> dict:
+def fit(texts: list[str], labels, epochs: int = 40, batch: int = 128, rate: float = 0.01, decay: float = 1e-4, seed: int = 7) -> dict:
+    labels = np.asarray(labels, np.int64)
     if not len(labels) or labels.min() == labels.max():
         return {"constant": float(labels.mean()) if len(labels) else 0.5}
     rng = np.random.default_rng(seed)
@@ -143,20 +148,40 @@ def score_texts(texts: list[str], net: dict) -> np.ndarray:
         return np.full(len(texts), net["constant"])
     raw, out = encode_texts(texts), np.zeros(len(texts))
     for a, b in blocks(raw):
+        if len(raw[a]) > BLOCK:
+            out[a] = score_long(raw[a], net)
+            continue
         x, first = passages(raw[a:b])
         out[a:b] = forward(x, first, net)["y"]
     return out
 
 
+def score_long(raw: bytes, net: dict) -> float:
+    """The score of one text, a block of passages at a time: the weighted sums of the blocks are
+    brought to one scale, as their attention is."""
+    top, weight, z = -np.inf, 0.0, 0.0
+    for at in range(0, len(raw), BLOCK):
+        x, first = passages([raw[at : at + BLOCK]])
+        s = forward(x, first, net)
+        peak = s["top"][0]
+        own = np.exp(s["raw"] - peak).sum()
+        high = max(top, peak)
+        z = z * np.exp(top - high) + s["z"][0] * own * np.exp(peak - high)
+        weight = weight * np.exp(top - high) + own * np.exp(peak - high)
+        top = high
+    return float(1 / (1 + np.exp(-np.clip(z / weight @ net["c"] + net["b"][0], -50, 50))))
+
+
 def score_batches(batches, net):
     known = net.value
     for batch in batches:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(texts_of(batch.column("text")), known))], [*batch.schema.names, "score"])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> dict:
     """Learns from labels outside the held-out fold."""
-    return fit(*sample(docs, labels, "quality", fold_of("doc_id", FOLDS) != HELD, per_class))
+    rows = labelled(docs, labels, "quality", fold_of("doc_id", FOLDS) != HELD, per_class, class_bytes)
+    return fit([], []) if rows is None else fitted(rows, __name__, "_label")
 
 
 def score(docs: DataFrame, net: dict) -> DataFrame:
@@ -164,8 +189,7 @@ def score(docs: DataFrame, net: dict) -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(net)  # a few thousand numbers
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"])
-    return docs.mapInArrow(remote(__name__, "score_batches", net=shared), schema)
+    return docs.mapInArrow(remote(__name__, "score_batches", net=shared), longer(docs.schema, ("score", T.DoubleType())))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

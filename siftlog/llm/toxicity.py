@@ -1,14 +1,20 @@
 """Operator 10: toxicity by a linear classifier over character n-grams, scaled by naive Bayes
 log-count ratios (Wang and Manning, 2012), trained on labelled text.
 
-Features are the presence of hashed byte n-grams of the lower-cased text. The ratio of a
-feature's smoothed share among toxic and clean documents scales it; logistic regression
-over the scaled features that tell the classes apart best gives the score.
-
-The model is fitted on a bounded sample, PER_CLASS labelled rows of either class at most;
-every row is scored on its whole text. Defined cases: null and empty texts get the score
-of a text without features; a null id counts as fold 0; without labels of both classes
-every score is the share of toxic labels (0 without any); extra columns are not read.
+Features are the presence of hashed byte n-grams of the lower-cased text: all those that LEAST
+documents of the sample or more have and whose shares among toxic and clean ones differ by
+SIGNIFICANT standard errors (or, in small samples, by half of what the clearest one differs
+by); the hundreds of thousands that differ by chance would let the model learn documents by
+heart. The log ratio of a feature's smoothed shares scales it; logistic regression over the scaled
+features gives the score.
+
+The model is fitted on a bounded sample, PER_CLASS labelled ids of either class and
+CLASS_BYTES bytes of their texts at most, in one task on an executor; every row is scored
+on its whole text. Defined cases: null and empty texts get the score of a text without
+features; a null id counts as fold 0; several labels of an id count as the largest; without
+labels of both classes every score is the share of toxic labels (0 without any); texts
+longer than a block are read in overlapping pieces; an empty table gives no row; extra
+columns are not read, and ``drop_toxic`` keeps them whatever their names.
 """
 
 from __future__ import annotations
@@ -17,37 +23,47 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bound_batches, fold_of, remote, texts_of
-from .ngrams import blocks, gram_codes, joined, sample
+from .common import all_columns, bound_batches, fold_of, free_names, remote, texts_of
+from .ngrams import BLOCK, blocks, fitted, gram_codes, joined, labelled, longer
 
-GRAMS = (4, 5, 6)
+GRAMS = (4, 5, 6, 7)
 BITS = 20
-FEATURES = 4096
 PER_CLASS = 4000
+CLASS_BYTES = 6 << 20
 #: A feature must be in so many documents of the sample.
 LEAST = 4
+SIGNIFICANT = 4.0
 FOLDS, HELD = 5, 0
 
 
-def features(texts: list[bytes], chosen: np.ndarray | None = None):
-    """(document, code) of every distinct feature, sorted by document. chosen: code -> number, -1: none."""
+def features(texts: list[bytes], alive: np.ndarray | None = None):
+    """(first text, end, document, code) of every distinct feature of a block, sorted by document.
+    alive: the codes that count."""
     for a, b in blocks(texts):
+        if len(texts[a]) > BLOCK:  # alone in its block
+            seen = np.zeros(1 << BITS, bool)
+            for at in range(0, len(texts[a]), BLOCK):
+                data = np.frombuffer(texts[a], np.uint8)[at : at + BLOCK + max(GRAMS) - 1]
+                for n in GRAMS:
+                    seen[gram_codes(data, n, BITS)] = True
+            code = np.flatnonzero(seen if alive is None else seen & alive)
+            yield a, b, np.zeros(len(code), np.int64), code
+            continue
         data, starts = joined(texts[a:b], 1)
+        doc = np.repeat(np.arange(b - a, dtype=np.uint32), np.diff(starts)) << np.uint32(BITS)
+        left = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(data))  # bytes to the end, with the gap
         found = []
         for n in GRAMS:
             code = gram_codes(data, n, BITS)
-            if chosen is not None:
-                code = chosen[code]
-                place = np.flatnonzero(code >= 0)
-                code = code[place]
-            else:
-                place = np.arange(len(code))
-            doc = np.searchsorted(starts, place, "right") - 1
-            within = place + n <= starts[doc + 1]
-            found.append(np.unique(doc[within].astype(np.int64) << 32 | code[within]))
-        keys = np.unique(np.concatenate(found))
-        yield a, b, (keys >> 32).astype(np.int64), (keys & 0xFFFFFFFF).astype(np.int64)
+            whole = left[: len(code)] >= n
+            if alive is not None:
+                whole &= alive[code]
+            found.append(doc[: len(code)][whole] | code[whole].astype(np.uint32))
+        keys = np.sort(np.concatenate(found))
+        keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+        yield a, b, (keys >> np.uint32(BITS)).astype(np.int64), (keys & np.uint32((1 << BITS) - 1)).astype(np.int64)
 
 
 #: Every ASCII byte that is no letter reads as a blank, so that a word's edges look alike.
@@ -62,73 +78,90 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -50, 50)))
 
 
-def fit(texts: list[str], labels: np.ndarray, steps: int = 200, rate: float = 0.5, decay: float = 1e-3) -> dict:
-    """Weights by code, and the bias."""
-    chosen = np.full(1 << BITS, -1, np.int32)
-    base = {"chosen": chosen, "weights": np.zeros(1), "bias": -50.0}
+def log_ratios(counts: np.ndarray, alive: np.ndarray) -> np.ndarray:
+    """log((1 + c1) / |1 + c1|) - log((1 + c0) / |1 + c0|) of the features that count."""
+    smooth = 1.0 + counts[:, alive]
+    return np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
+
+
+def telling(counts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which features count: enough documents have them, and they tell the classes apart."""
+    share, mean = counts / size[:, None], counts.sum(0) / size.sum()
+    z = np.abs(share[1] - share[0]) / np.sqrt(np.maximum(mean * (1 - mean), 1e-9) * (1 / size).sum())
+    z[counts.sum(0) < min(LEAST, size.min())] = 0
+    return z >= max(min(SIGNIFICANT, z.max() / 2), 1e-9)
+
+
+def fit(texts: list[str], labels, epochs: int = 60, batch: int = 64, rate: float = 0.1, decay: float = 1e-5) -> dict:
+    """{weights: float32 by code, bias}: AdaGrad in small batches over all features that count."""
+    labels = np.asarray(labels, np.int64)
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
-        return base | {"bias": float(np.log(max(share, 1e-12) / max(1 - share, 1e-12)))}
-    raw = low(texts)
+        return {"weights": None, "bias": float(np.log(max(share, 1e-12) / max(1 - share, 1e-12)))}
     counts = np.zeros((2, 1 << BITS))
-    for a, _, doc, code in features(raw):
-        for k in (0, 1):
-            counts[k] += np.bincount(code[labels[a + doc] == k], minlength=1 << BITS)
+    ends, parts = [0], []
+    for a, b, doc, code in features(low(texts)):
+        counts += np.stack([np.bincount(code[labels[a + doc] == k], minlength=1 << BITS) for k in (0, 1)])
+        ends += (ends[-1] + np.cumsum(np.bincount(doc, minlength=b - a))).tolist()
+        parts.append(code.astype(np.int32))
     size = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
-    share = counts / size[:, None]
-    spread = np.abs(share[1] - share[0]) / np.sqrt((share.mean(0) + 1 / size.sum()) * (1.0001 - share.mean(0)))
-    spread[counts.sum(0) < LEAST] = 0
-    best = np.argsort(-spread, kind="stable")[:FEATURES]
-    best = best[spread[best] > 0]
-    chosen[best] = np.arange(len(best))
-    smooth = 1 + counts[:, best]
-    ratio = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
-    docs, codes = [], []
-    for a, _, doc, code in features(raw, chosen):
-        docs.append(a + doc)
-        codes.append(code)
-    doc, code = np.concatenate(docs), np.concatenate(codes)
-    value = ratio[code]
-    # classes weigh alike in the slope; the share of toxic labels goes back into the bias
-    weight = np.where(labels == 1, 0.5 / size[1], 0.5 / size[0])
-    w, bias = np.zeros(len(best)), 0.0
-    g2, b2 = np.full(len(best), 1e-8), 1e-8
-    for _ in range(steps):
-        error = (sigmoid(bias + np.bincount(doc, w[code] * value, len(labels))) - labels) * weight
-        grad = np.bincount(code, error[doc] * value, len(best)) + decay * w
-        g2 += grad**2
-        b2 += error.sum() ** 2
-        w -= rate * 0.1 * grad / np.sqrt(g2)
-        bias -= rate * 0.1 * error.sum() / np.sqrt(b2)
-    return {"chosen": chosen, "weights": w * ratio, "bias": bias}
+    alive = telling(counts, size)
+    code, ends = np.concatenate(parts), np.array(ends)
+    keep = alive[code]
+    before = np.concatenate([[0], np.cumsum(keep)])
+    ends, number = before[ends], np.cumsum(alive) - 1
+    code = number[code[keep]].astype(np.int32)
+    ratio = log_ratios(counts, alive)
+    # classes weigh alike in the slope
+    weight = np.where(labels == 1, 0.5 / size[1], 0.5 / size[0]) * len(labels)
+    w, bias = np.zeros(len(ratio)), 0.0
+    g2, b2 = np.full(len(ratio), 1e-8), 1e-8
+    rng = np.random.default_rng(7)
+    for _ in range(epochs):
+        order = rng.permutation(len(labels))
+        for at in range(0, len(order), batch):
+            docs = order[at : at + batch]
+            sizes = ends[docs + 1] - ends[docs]
+            of = np.repeat(np.arange(len(docs)), sizes)
+            own = np.concatenate([code[ends[d] : ends[d + 1]] for d in docs])
+            value = ratio[own]
+            error = (sigmoid(bias + np.bincount(of, w[own] * value, len(docs))) - labels[docs]) * weight[docs] / len(docs)
+            grad = np.bincount(own, error[of] * value, len(ratio)) + decay * w
+            g2 += grad**2
+            b2 += error.sum() ** 2
+            w -= rate * grad / np.sqrt(g2)
+            bias -= rate * error.sum() / np.sqrt(b2)
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[alive] = w * ratio
+    return {"weights": weights, "bias": float(bias)}
 
 
 def score_texts(texts: list[str], model: dict) -> np.ndarray:
-    raw = low(texts)
-    out = np.full(len(raw), model["bias"])
-    for a, b, doc, code in features(raw, model["chosen"]):
-        out[a:b] += np.bincount(doc, model["weights"][code], b - a)
+    out = np.full(len(texts), model["bias"])
+    if model["weights"] is not None:
+        for a, b, doc, code in features(low(texts), model["weights"] != 0):
+            out[a:b] += np.bincount(doc, model["weights"][code], b - a)
     return sigmoid(out)
 
 
-def score_batches(batches, model):
+def score_batches(batches, model, text: str, name: str):
     known = model.value
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(texts_of(batch.column("text")), known))], [*batch.schema.names, "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(texts_of(batch.column(text)), known))], [*batch.schema.names, name])
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> dict:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, class_bytes: int = CLASS_BYTES) -> dict:
     """Learns from labels outside the held-out fold."""
-    return fit(*sample(docs, labels, "toxic", fold_of("doc_id", FOLDS) != HELD, per_class))
+    rows = labelled(docs, labels, "toxic", fold_of("doc_id", FOLDS) != HELD, per_class, class_bytes)
+    return fit([], []) if rows is None else fitted(rows, __name__, "_label")
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with ``score``, the chance that a text is toxic. One pass, no shuffle."""
+def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """``docs`` with the chance that a text is toxic. One pass, no shuffle."""
     spark = docs.sparkSession
     bound_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # of a size fixed by BITS and FEATURES
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double"])
-    return docs.mapInArrow(remote(__name__, "score_batches", model=shared), schema)
+    shared = spark.sparkContext.broadcast(model)  # of a size fixed by BITS
+    return docs.mapInArrow(remote(__name__, "score_batches", model=shared, text="text", name=name), longer(docs.schema, (name, T.DoubleType())))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -138,7 +171,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``limit`` or more; its columns are kept."""
-    names = docs.columns
-    plain = docs.withColumnRenamed("score", "_own_score") if "score" in names else docs
-    kept = score(plain, train(docs, labels)).where(F.col("score") < limit).drop("score")
-    return (kept.withColumnRenamed("_own_score", "score") if "score" in names else kept).select(*names)
+    (name,) = free_names(docs.columns, "toxicity_score")
+    return score(docs, train(docs, labels), name).where(F.col(name) < limit).select(*all_columns(docs.columns))
