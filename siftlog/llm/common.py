@@ -226,24 +226,25 @@ def bucket_links(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], lab
 
     First every id meets the least one of each of its buckets; only ids of a bucket that this
     has not brought together meet each other, so a large group of copies costs about its
-    size, and no link is lost. Buckets of two ids, which most are, are pairs outright; the rest of a
-    bucket is cut into blocks of about BUCKET_BLOCK, and each pair of blocks is a join key
+    size, and no link is lost. What is left of a bucket is cut into blocks of about BUCKET_BLOCK, and each pair of blocks is a join key
     of its own, so that a hot bucket is spread over tasks and still compared whole.
 
     admit(l, r): a condition on the columns of ``traits`` (id, ..) at either end of a pair,
-    which spares ``verify`` the pairs that can't pass. posts: read twice.
+    which spares ``verify`` the pairs that can't pass.
     """
-    heads = written(posts.groupBy("post").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.count("*").alias("n")).where("n > 1 AND head < last"), f"{label}-buckets", release=True)
-    large = heads.where("n > 2").select("post", "head", "n")
-    shared = written(posts.join(sized(large), "post"), f"{label}-posts", release=True)
-    stars = heads.select(F.col("head").alias("a"), F.col("last").alias("b")).union(shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))).distinct()
+    # one shuffle serves the least ids and the join that brings them to the others
+    spread = posts.repartition("post")
+    heads = spread.groupBy("post").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.count("*").alias("n")).where("head < last")
+    shared = written(spread.join(heads.select("post", "head", "n").hint("shuffle_hash"), "post"), f"{label}-posts", release=True)
+    stars = shared.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     if admit is not None:
         near = traits.alias("l").join(stars, F.col("l.id") == F.col("a")).join(traits.alias("r"), F.col("r.id") == F.col("b"))
         stars = near.where(admit("l", "r")).select("a", "b")
     tried = written(stars, f"{label}-stars", release=True)
     star = verify(tried)
     parts = connected_components(star).withColumnRenamed("node", "id")
-    known = shared.join(parts, "id", "left").select("id", "post", "n", F.coalesce("component", "id").alias("part"))
+    # buckets of two ids are settled
+    known = shared.where("n > 2").join(parts, "id", "left").select("id", "post", "n", F.coalesce("component", "id").alias("part"))
     known = written(known, f"{label}-parts")
     split = known.groupBy("post").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("post")
     rest = known.join(split, "post").withColumn("blocks", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int"))
@@ -262,5 +263,5 @@ def bucket_links(posts: DataFrame, verify: Callable[[DataFrame], DataFrame], lab
     more = left.join(right, apart).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = written(more, f"{label}-pairs", release=True)
     found = written(star.union(verify(more)), f"{label}-links", release=True)
-    forget(heads, shared, tried, known, rest, more)
+    forget(shared, tried, known, rest, more)
     return found
