@@ -6,7 +6,8 @@ leaves, each in logarithmic time, until the root says that no pair can be merged
 
 Defined cases: a null or blank text has no ids and decodes to the empty string; the
 vocabulary's special strings in a text become their ids; words of any length are merged
-whole; rows repeat as they come; extra columns are not touched by ``encode`` and ``decode``.
+whole; rows repeat as they come, and null ids like others; an empty table gives no row; extra columns
+are not touched by ``encode`` and ``decode``, whatever their names, if ``out`` is a new one.
 """
 
 from __future__ import annotations
@@ -37,6 +38,11 @@ FOREST = 1 << 19
 #: What the vocabulary's splitter takes as white space.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD = re.compile("[\x1c-\x1f]")
+#: Code points that are letters in one version of Unicode and not in another (and the rare planes whole):
+#: chunks with them are left to the library, whose version counts.
+_DRIFT = re.compile(
+    "[\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u1c89\u208f\u209d-\u209f\ua7cb-\ua7f1\uab6c\uab6d\u1df6-\u1dff\U00010780-\U0001efff\U0002b73a-\U0010ffff]"
+)
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
 
 
@@ -210,6 +216,7 @@ class Codec:
     """The vocabulary of word pieces: normaliser, splitter, merges and decoder."""
 
     def __init__(self, path: str) -> None:
+        self.path, self._library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -267,12 +274,24 @@ class Codec:
                     start = end
         return out
 
+    @property
+    def library(self):
+        """The library's own encoder."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+        return self._library
+
     def segments(self, text: str) -> list[str]:
         """The text cut so that special strings stand alone, at the odd places."""
         return self._special.split(text) if "<|" in text else [text]
 
     def chunks(self, text: str) -> list[str]:
-        """Normalised stretches between white space; no piece crosses them."""
+        """Normalised stretches between white space; no piece crosses them. Those with code points
+        of ``_DRIFT`` are as they came, for the library to normalise."""
+        if not text.isascii() and _DRIFT.search(text):
+            return [x for chunk in _SPACE.split(text) if chunk for x in ([chunk] if _DRIFT.search(chunk) else self.chunks(chunk))]
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:  # no final form
             text = text.replace("Σ", "σ")
@@ -286,6 +305,9 @@ class Codec:
                 ids.append(self.special[part])
             else:
                 for chunk in self.chunks(part):
+                    if _DRIFT.search(chunk):
+                        ids += self.library.encode(chunk, add_special_tokens=False).ids
+                        continue
                     for piece in _PIECES.findall(chunk):
                         ids += self.word(piece)
         return ids
@@ -316,6 +338,11 @@ class ChunkMemo(dict):
         if len(self) + len(lacking) > MEMO:
             self.clear()
             lacking = list(chunks)
+        drift = [c for c in lacking if not c.isascii() and _DRIFT.search(c)]
+        if drift:
+            for chunk in drift:
+                self[chunk] = self.made(np.array(self.codec.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
+            lacking = [c for c in lacking if c not in self]
         pieces = list(map(pieces_of, lacking))
         words = list({w for p in pieces for w in p})
         ids = dict(zip(words, self.codec.word_batch(words)))

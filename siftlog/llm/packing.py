@@ -18,6 +18,7 @@ the other columns only doc_id is kept.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -39,6 +40,9 @@ MEMO = 500_000
 PER_TASK = 1 << 40
 
 _SPECIAL = "<|endoftext|>"
+#: The fast splitter goes one level deeper with each blank of a run and would break on long ones.
+LONG_RUN = 10_000
+_LONG_RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d}" % LONG_RUN)
 
 
 class ByteCodec(dict):
@@ -64,7 +68,7 @@ class ByteCodec(dict):
         return out
 
     def library(self, text: str) -> bytes:
-        """The slow way, for texts that hold a special string."""
+        """The slow way, for texts that hold a special string or a long run of white space."""
         from tokenizers import Tokenizer
 
         if self._library is None:
@@ -72,7 +76,7 @@ class ByteCodec(dict):
         return np.array(self._library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if _SPECIAL in text:
+        if _SPECIAL in text or len(text) > LONG_RUN and _LONG_RUN.search(text):
             return self.library(text)
         first, *rest = text.split(" ")
         if rest and "" in rest[:-1]:  # a run of blanks is one piece with what precedes it

@@ -319,12 +319,43 @@ def brute_lines(docs):
     return out
 
 
-def test_wide_lanes_count_the_same(spark):
-    df = spark.createDataFrame([(1, "a b c d e f g\nx y z x y")], "doc_id long, text string")
-    narrow, wide = (sorted((r["pos"], r["sim"]) for r in line_dedup.counted(line_dedup.lines_of(df), w).collect()) for w in (16, 32))
-    assert narrow == wide
-    many = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(70_000)))], "doc_id long, text string")
-    assert line_dedup.occurrences(many).first()["n_words"] == 70_000
+def brute_sim(features):
+    """Bits set in more than half of the hashes, which Spark makes."""
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in features) > len(features))
+
+
+def test_sketches_of_lines(spark):
+    texts = ["one two three four five six seven eight nine", "kurz", " ".join(f"w{n % 400}" for n in range(1000)), "a b c d e f", "東京都に行く", "!!", ""]
+    df = spark.createDataFrame([(1, "\n".join(texts))], "doc_id long, text string")
+    got = {(r["pos"], r["kind"]): r for r in line_dedup.sketched(line_dedup.lines_of(df)).collect()}
+    assert sorted(got) == [(0, 0), (1, 1), (2, 0), (3, 0), (3, 1), (4, 1)]
+    for (pos, kind), r in got.items():
+        line = texts[pos]
+        features = sorted(set(line.split())) if kind == 0 else sorted({"\x01" + f" {line} "[k : k + 2] for k in range(len(line) + 1)})
+        hashed = [x[0] & (1 << 64) - 1 for x in spark.createDataFrame([(f,) for f in features], "f string").select(F.xxhash64("f")).collect()]
+        assert r["sim"] & (1 << 64) - 1 == brute_sim(hashed), (pos, kind)
+
+
+def test_recall_by_edit_similarity_alone(spark):
+    """Groups of lines against brute force that knows nothing of candidates."""
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect() if r["text"]]
+    names = sorted({n for r in docs for line in r["text"].split("\n") if (n := regex.sub(r"[^\p{L}\p{M}\p{N}]+", " ", line.lower()).strip())}, key=lambda n: (len(n), n))
+    pairs = []
+    counts = np.array([np.bincount([ord(c) % 64 for c in n], minlength=64) for n in names])
+    for i, n in enumerate(names):
+        for j in range(i + 1, len(names)):
+            if len(names[j]) > len(n) / 0.8 + 1e-9:
+                break
+            gap = counts[j] - counts[i]
+            if max(gap[gap > 0].sum(), -gap[gap < 0].sum()) <= int(0.2 * len(names[j]) + 1e-9):
+                pairs.append((i, j))
+    table = spark.createDataFrame([(i, j, names[i], names[j]) for i, j in pairs], "i int, j int, a string, b string")
+    true = table.where("levenshtein(a, b) <= floor(0.2 * greatest(length(a), length(b)) + 1e-9)").select("i", "j").collect()
+    classes = common.written(line_dedup.sketched(line_dedup.lines_of(spark.createDataFrame(docs))), "recall")
+    at = {r["line"]: r["id"] for r in line_dedup.texts_at(classes.select("id", "d1", "d2", "pos").distinct(), spark.createDataFrame(docs)).collect()}
+    parts = {r[0]: r[1] for r in common.connected_components(line_dedup.line_links(classes, spark.createDataFrame(docs), True)).collect()}
+    together = sum(parts.get(at[names[r["i"]]]) is not None and parts.get(at[names[r["i"]]]) == parts.get(at[names[r["j"]]]) for r in true)
+    assert len(true) > 30 and together >= 0.9 * len(true)
 
 
 def test_line_dedup_is_native(spark, odd):
@@ -371,7 +402,7 @@ def test_languages(spark, odd, empty):
 def test_toxicity_accuracy():
     rows = [r for r in labelled("sf0.1") if r[4] is not None]
     train, held = [r for r in rows if fold(r[0], 5)], [r for r in rows if not fold(r[0], 5)]
-    model = toxicity.fit([r[1] for r in train], np.array([r[4] for r in train]), steps=100)
+    model = toxicity.fit([r[1] for r in train], np.array([r[4] for r in train]))
     p = toxicity.score_texts([r[1] for r in held], model)
     y = np.array([r[4] for r in held])
     assert ((p >= 0.5) == y).mean() > 0.95 and (p >= 0.5)[y == 0].mean() < 0.02
