@@ -55,31 +55,51 @@ class Engine:
         if asked and columns:
             raise search.ArgumentError("an aggregation has no projection")
         names = [dataset] if isinstance(dataset, str) else list(dataset)
-        parts, how = {}, {}
+        parts, hows = {}, {}
         for name in names:
             df, how = self.datasets[name]
             df = search.time_filter(df, how["time"], tge, tle)
             if query.strip() != "*":
                 df = df.where(compile_query(df, query, json_columns=how["json_columns"], root=how["root"], namespaces=how["namespaces"], ignore_case=ignore_case))
-            parts[name] = df
-        df = parts[names[0]] if isinstance(dataset, str) else aggregate.union_tagged(parts)
-        json = how["root"] or (how["json_columns"] or (None,))[0]
+            parts[name], hows[name] = df, how
+        json = {name: how["root"] or (how["json_columns"] or (None,))[0] for name, how in hows.items()}
+        timed = count_by_time is not None or max_results is not None
+        if timed and any(how["time"] is None for how in hows.values()) and (count_by_time is not None or any(how["time"] for how in hows.values())):
+            raise search.ArgumentError("each dataset needs its authoritative timestamp")
+        time, spare = hows[names[0]]["time"], None
+        if isinstance(dataset, str):
+            df = parts[dataset]
+        elif (min or max or unique) is not None:
+            # fields are read as each dataset has them, before the datasets are one
+            field = min or max or unique
+            read_as = {name: aggregate.with_parts(part, field, json[name]) for name, part in parts.items()}
+            df = aggregate.union_tagged(read_as)
+        else:
+            if timed and time:
+                (spare,) = ordering.free_names([c for part in parts.values() for c in part.columns], "authoritative_time")
+                parts = {name: part.withColumn(spare, search.epoch_nanos(part, hows[name]["time"])) for name, part in parts.items()}
+                time = spare
+            if columns:
+                kept = [*columns, *([spare] if spare else [])]
+                parts = {name: search.project(part, kept, json[name]) for name, part in parts.items()}
+            df = aggregate.union_tagged(parts)
         by = list(group_by)
         if count:
             return aggregate.count(df, by)
         if count_by_time is not None:
-            if how["time"] is None:
-                raise search.ArgumentError("counts by time need the authoritative timestamp")
-            return aggregate.count_by_time(df, how["time"], count_by_time, by)
+            return aggregate.count_by_time(df, time, count_by_time, by)
+        own = json[names[0]]
         if min is not None:
-            return aggregate.extreme(df, min, "min", json, by)
+            return aggregate.extreme(df, min, "min", own, by)
         if max is not None:
-            return aggregate.extreme(df, max, "max", json, by)
+            return aggregate.extreme(df, max, "max", own, by)
         if unique is not None:
-            return aggregate.unique(df, unique, json, by)
+            return aggregate.unique(df, unique, own, by)
         if max_results is not None:
-            df = ordering.latest(df, how["time"], max_results) if how["time"] else df.limit(max_results)
-        return search.project(df, columns, json) if columns else df
+            df = ordering.latest(df, time, max_results) if time else df.limit(max_results)
+        if spare:
+            return df.drop(spare)
+        return search.project(df, columns, own) if columns and isinstance(dataset, str) else df
 
     def observed(self, df: DataFrame, name: str = "matches") -> tuple[DataFrame, Observation]:
         """``df``, and how many rows passed once it has run."""

@@ -27,11 +27,27 @@ def count_by_time(df: DataFrame, column: str, size_ms: int, by: list[str] = ())
     return bucket.groupBy(*by, "timestamp").agg(F.count("*").alias("count"))
 
 
+#: Holds the readings of an aggregated field where each of several datasets has its own.
+READ_AS = "_siftlog_read_as"
+
+
+def with_parts(df: DataFrame, name: str, json_column: str | None = None) -> DataFrame:
+    """``df`` with the readings of a field in one column; all null where the dataset lacks it."""
+    tokens = tuple(name.split("."))
+    if tokens[0] in df.columns or json_field(df, json_column, tokens) is not None:
+        parts = field_parts(df, name, json_column)
+    else:
+        parts = {k: F.lit(None).cast(t) for k, t in (("int", "long"), ("float", "double"), ("string", "string"), ("bool", "boolean"))}
+    return df.withColumn(READ_AS, F.struct(*(c.alias(k) for k, c in parts.items())))
+
+
 def field_parts(df: DataFrame, name: str, json_column: str | None = None) -> dict[str, Column]:
     """Integer, float, text and boolean readings of a field; paths do not enter arrays."""
     tokens = tuple(name.split("."))
     if not name or "*" in tokens:
         raise ArgumentError("an aggregated field has a name without wildcards")
+    if READ_AS in df.columns:
+        return {k: F.col(READ_AS).getField(k) for k in ("int", "float", "string", "bool")}
     null = F.lit(None)
     v = json_field(df, json_column, tokens)
     if v is not None:

@@ -6,11 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.catalog import quoted
 from .search import ArgumentError
 
 DEFAULT_RESULTS = 1000
 
 
+def free_names(names: list[str], *wanted: str) -> list[str]:
+    """``wanted`` names, with underscores before them where they would clash with ``names``."""
+    taken, out = {n.lower() for n in names}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def latest(df: DataFrame, column: str, k: int = DEFAULT_RESULTS, tie: list[str] = ()) -> DataFrame:
     """The k newest rows; each task keeps k of its own and nothing is sorted whole."""
     if k <= 0:
@@ -83,22 +95,52 @@ def latest_with_stop(archives: list[tuple[object, int, int]], read, column: str,
     return best
 
 
+def range_of(df: DataFrame, order: str, parts: int, each: int = 100) -> Column:
+    """The number of the range that a row's ``order`` falls into, from 0; nulls are in the first.
+
+    The bounds come from a sample of about ``each`` values a range and become part of the
+    expression, so whatever is computed from it, in whichever plan, agrees. Any bounds give
+    right results; the sample only evens the ranges out.
+    """
+    rows = df.count()
+    share = min(1.0, parts * each / max(1, rows))
+    values = df.select(order).where(F.col(quoted(order)).isNotNull())
+    drawn = [r[0] for r in (values.sample(share, 7) if share < 1 else values).orderBy(order).collect()]
+    bounds = sorted({drawn[len(drawn) * k // parts] for k in range(1, parts)}) if drawn else []
+
+    def below(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(F.col(quoted(order)) < F.lit(bounds[mid]), below(low, mid)).otherwise(below(mid + 1, high))
+
+    return F.when(F.col(quoted(order)).isNull(), 0).otherwise(below(0, len(bounds)))
+
+
 def chunked(df: DataFrame, order: str, size: Column, target: int) -> DataFrame:
     """Rows in log order with the chunk each falls into; a chunk ends with the row that brings it
     to the target size.
 
-    Sizes are summed by range first, so no task holds more than a range: rows are ranged by
-    ``order``, each range knows its total, and only totals meet in one place.
+    Sizes are summed by range first, so no task holds more than a range: each range knows its
+    total, and only totals meet in one place. Rows of equal ``order`` share a range.
     """
-    ranged = df.withColumn("_size", size.cast("long")).repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    totals = ranged.groupBy("_part").agg(F.sum("_size").alias("_total"))
-    before = F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = ranged.join(F.broadcast(totals.select("_part", before.alias("_before"))), "_part")
-    running = F.col("_before") + F.coalesce(F.sum("_size").over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return placed.withColumn("chunk", F.floor(running / target).cast("long")).drop("_size", "_part", "_before")
+    part, own, before, total = free_names(df.columns, "part", "size", "before", "total")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn(own, size.cast("long")).withColumn(part, range_of(df, order, parts))
+    totals = ranged.groupBy(part).agg(F.sum(own).alias(total))
+    # a row a range
+    sums = totals.select(part, F.coalesce(F.sum(total).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    placed = ranged.join(F.broadcast(sums), part)
+    running = F.col(before) + F.coalesce(F.sum(own).over(Window.partitionBy(part).orderBy(quoted(order)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return placed.withColumn("chunk", F.floor(running / target).cast("long")).drop(own, part, before)
 
 
 def chunk_index(df: DataFrame, order: str) -> DataFrame:
-    """{chunk, begin, end, is_last} of every chunk."""
-    spans = df.groupBy("chunk").agg(F.min(order).alias("begin_ix"), F.max(order).alias("end_ix"))
-    return spans.withColumn("is_last_chunk", F.col("chunk") == F.max("chunk").over(Window.partitionBy(F.lit(0))))
+    """{chunk, begin_ix, end_ix, is_last_chunk} of every chunk. ``end_ix`` is exclusive: where the next
+    chunk begins, and in the last chunk one past its last row."""
+    begins = df.groupBy("chunk").agg(F.min(order).alias("begin_ix"), F.max(order).alias("last_ix"))
+    # the chunk after, by number: chunks without rows in between are passed over by their part alone
+    following = begins.select((F.col("chunk") - 1).alias("chunk"), F.col("begin_ix").alias("next_ix"))
+    newest = df.agg(F.max("chunk").alias("newest"))
+    spans = begins.join(following, "chunk", "left").crossJoin(F.broadcast(newest))  # one row
+    return spans.select("chunk", "begin_ix", F.coalesce("next_ix", F.col("last_ix") + 1).alias("end_ix"), (F.col("chunk") == F.col("newest")).alias("is_last_chunk"))

@@ -91,6 +91,14 @@ def search_by_template(df: DataFrame, pattern: str, column: str = "message", log
     return df_out.where(wildcard.contains(F.col(quoted(column)), pattern))
 
 
+def epoch_nanos(df: DataFrame, column: str) -> Column:
+    """Epoch nanoseconds of the authoritative timestamp: one scale for datasets of any kind."""
+    c = F.col(quoted(column))
+    if isinstance(df.schema[column].dataType, TIME_TYPES):
+        return F.expr(f"unix_micros(CAST({quoted(column)} AS TIMESTAMP)) * 1000")
+    return c.cast("long")
+
+
 def project(df: DataFrame, columns: list[str], json_column: str | None = None, allow_duplicates: bool = False) -> DataFrame:
     """Chosen fields, by dotted paths without wildcards; of a JSON column as variants. Each is
     named by its path."""

@@ -8,9 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Nested levels that discovery follows in JSON.
-MAX_DEPTH = 16
-
 
 @dataclass(frozen=True)
 class TypedLeaf:
@@ -84,20 +81,18 @@ def type_tag(column: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(column), r"^[A-Z]+", 0)
 
 
-def discover(df: DataFrame, column: Column, depth: int = MAX_DEPTH) -> DataFrame:
+def discover(df: DataFrame, column: Column) -> DataFrame:
     """(path, type, in_array) of every leaf in a VARIANT column: path is an array of keys. Arrays
     and empty objects are leaves; what is inside arrays is listed as well, and marked. Each
     level is one pass; a level with nothing to open ends it."""
-    spark = df.sparkSession
+    tvf = df.sparkSession.tvf
     level = df.select(F.array().cast("array<string>").alias("path"), column.alias("v"), F.lit(False).alias("in_array")).where("v IS NOT NULL")
     found: DataFrame | None = None
-    for _ in range(depth):
-        level.createOrReplaceTempView("_siftlog_level")
+    while True:
         # a lateral explode gives the keys and values of an object, the elements of an array
-        opened = spark.sql(
-            "SELECT CASE WHEN e.key IS NULL THEN path ELSE concat(path, array(e.key)) END AS path, e.value AS v, in_array OR e.key IS NULL AS in_array"
-            " FROM _siftlog_level, LATERAL variant_explode(v) AS e"
-        )
+        each = level.alias("l").lateralJoin(tvf.variant_explode(F.col("v").outer()).alias("e"))
+        path = F.when(F.col("e.key").isNull(), F.col("l.path")).otherwise(F.concat("l.path", F.array("e.key")))
+        opened = each.select(path.alias("path"), F.col("e.value").alias("v"), (F.col("l.in_array") | F.col("e.key").isNull()).alias("in_array"))
         tagged = opened.withColumn("type", type_tag(F.col("v")))
         inner = (F.col("type") == "OBJECT") & (F.schema_of_variant("v") != "OBJECT<>")
         leaves = tagged.where(~inner & (F.size("path") > 0)).select("path", "type", "in_array").distinct()

@@ -113,7 +113,7 @@ def test_chunks(spark):
     chunks = ordering.chunked(df, "i", F.length("s"), 30)
     assert [r["chunk"] for r in chunks.orderBy("i").collect()] == [i // 3 for i in range(25)]
     last = [r for r in ordering.chunk_index(chunks, "i").collect() if r["is_last_chunk"]]
-    assert [(r["chunk"], r["begin_ix"], r["end_ix"]) for r in last] == [(8, 24, 24)]
+    assert [(r["chunk"], r["begin_ix"], r["end_ix"]) for r in last] == [(8, 24, 25)]
 
 
 def test_archives(spark):
@@ -287,3 +287,44 @@ def test_grouping_files(spark):
     got = {r["path"]: (r["name_group"], r["part"]) for r in ingest.group_files(df, 100).collect()}
     assert [got[f"/x/a{i}.log"] for i in range(5)] == [("a#.log", 0), ("a#.log", 0), ("a#.log", 0), ("a#.log", 1), ("a#.log", 1)]
     assert [r["path"] for r in ingest.scan_prefix(df, "/x/a3.log").collect()] == ["/x/a4.log", "/x/b.log"]
+
+
+def test_chunks_of_many_rows(spark, tmp_path):
+    df = spark.range(0, 300_000, 1, 12).select(F.col("id").alias("i"), (F.col("id") % 7).cast("string").alias("s"), F.lit("x").alias("part"))
+    df.orderBy(F.xxhash64("i")).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    found = ordering.chunked(rows, "i", F.lit(10), 1000)
+    assert found.columns == ["i", "s", "part", "chunk"]
+    wrong = found.agg(F.count("*").alias("n"), F.countDistinct("i").alias("d"), F.sum((F.col("chunk") != F.floor(F.col("i") / 100)).cast("int")).alias("wrong")).first()
+    assert tuple(wrong) == (300_000, 300_000, 0)
+    index = ordering.chunk_index(found, "i").orderBy("chunk").collect()
+    assert [(r["begin_ix"], r["end_ix"]) for r in index] == [(100 * k, 100 * k + 100) for k in range(3000)]
+    assert [r["chunk"] for r in index if r["is_last_chunk"]] == [2999]
+
+
+def test_datasets_with_unlike_times(spark):
+    a = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP '2024-01-01 00:00:01'), (2, TIMESTAMP '2024-01-01 00:01:01') AS t(id, at)")
+    b = spark.sql("SELECT * FROM VALUES (3, 1704067230000000000L, parse_json('{\"k\": 5}')), (4, 1704067320000000000L, parse_json('{\"k\": 2}')) AS t(id, ns, body)")
+    e = Engine(spark)
+    e.register("a", a, "at")
+    e.register("b", b, "ns", root="body")
+    e.register("c", a)
+    counts = {r["timestamp"]: r["count"] for r in e.search(["a", "b"], count_by_time=60_000).collect()}
+    assert counts == {1704067200000: 2, 1704067260000: 1, 1704067320000: 1}
+    newest = e.search(["a", "b"], max_results=2)
+    assert sorted(r["id"] for r in newest.collect()) == [2, 4]
+    assert newest.columns == ["id", "at", "dataset", "ns", "body"]
+    assert [r["id"] for r in e.search(["a", "b"], max_results=1, columns=["id"]).collect()] == [4]
+    assert e.search(["a", "b"], max="k").first()["int_value"] == 5
+    with pytest.raises(search.ArgumentError):
+        e.search(["a", "c"], count_by_time=1000)
+
+
+def test_deep_keys_are_found(spark):
+    text = '"needle"'
+    for n in range(20):
+        text = f'{{"k{n}": {text}}}'
+    df = spark.createDataFrame([(1, text), (2, "{}")], "id int, body string")
+    e = Engine(spark)
+    e.register("deep", df, json_columns=("body",))
+    assert [r["id"] for r in e.search("deep", "needle").collect()] == [1]
