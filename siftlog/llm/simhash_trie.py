@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bound_batches, connected_components, hot_key_join, remote, texts_of, written
 
@@ -27,8 +28,8 @@ BITS = 64
 SEED = 42
 WORDS = 3
 BUDGET = 2
-#: Fingerprints that a subtrie should hold on average.
-SUBTRIE = 2048
+#: Fingerprints that a subtrie should hold on average: 128 kB a cell, and few copies of each fingerprint.
+SUBTRIE = 1 << 14
 #: Node pairs that are expanded at once; more wait their turn.
 FRONTIER = 1 << 18
 
@@ -62,7 +63,7 @@ def fingerprint_batches(batches, words: int):
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``docs`` with fp, the fingerprint as a signed long, in place of the text."""
     bound_batches(docs.sparkSession)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text"), "fp long"])
+    schema = T.StructType([*(f for f in docs.schema if f.name != "text"), T.StructField("fp", T.LongType())])
     return docs.mapInArrow(remote(__name__, "fingerprint_batches", words=words), schema)
 
 
@@ -221,21 +222,3 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -
 
 def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of the least doc_id (nulls
-    last), ties broken by the row's hash. All columns are kept.
-
-    The groups are found on ids and fingerprints; only their verdict, a row for each document
-    that stays, meets the texts again.
-    """
-    names = docs.columns
-    key = F.xxhash64("doc_id", "text")
-    prints = written(fingerprints(docs.select("doc_id", key.alias("_key"), "text"), words), "keyed-prints")
-    classes = written(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_key")).alias("first")), "first-prints")
-    joined = connected_components(links(classes.select("fp"), classes.count(), budget)).withColumnRenamed("node", "fp")
-    heads = classes.join(joined, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
-    stay = heads.select(F.col("first._key").alias("_key"))
-    kept = docs.withColumn("_key", key).join(stay, "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*names)
