@@ -216,10 +216,6 @@ def test_near_duplicates(spark, odd, empty):
             first[part[f]] = min(first.get(part[f], i), i)
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == sorted((str(i), str(first.get(part[f]))) for i, f in rows)
     assert simhash_trie.near_duplicates(empty).count() == 0
-    kept = simhash_trie.keep_first(odd)
-    assert kept.columns == odd.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(first.get(p)) for p in set(part.values()))
-    assert simhash_trie.keep_first(empty).count() == 0
 
 
 def test_host_rules(spark, odd, empty):
