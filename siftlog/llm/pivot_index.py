@@ -89,19 +89,17 @@ def block_links(table: pa.Table, limit: float) -> pa.Table:
     n_links = np.zeros(len(ids), np.int64)
     low: list[int] = []
     high: list[int] = []
+    # a column for each pivot that two of them or more have; products count what is shared
+    names, column, seen = np.unique(prefix, return_inverse=True, return_counts=True)
+    hot = np.zeros((len(ids), len(names)), np.float32)
+    hot[np.arange(len(ids))[:, None], column.reshape(prefix.shape)] = 1
+    hot, names = hot[:, seen > 1], names[seen > 1]
+    lower = hot[:, names < pivot]
+    peers, lower_peers = hot[right].T.copy(), lower[right].T.copy()
     for at in range(0, len(left), 128):
         a = left[at : at + 128]
-        shared = np.zeros((len(a), len(right)), np.int16)
-        least = np.full((len(a), len(right)), np.iinfo(np.int64).max)
-        for p in range(prefix.shape[1]):
-            mine = prefix[a, p]
-            hit = np.zeros((len(a), len(right)), bool)
-            for q in range(prefix.shape[1]):
-                hit |= mine[:, None] == prefix[right, q][None, :]
-            shared += hit
-            np.minimum(least, np.where(hit, mine[:, None], least), out=least)
-        # where hardly a pivot is left all vectors are neighbours
-        near = (shared >= min(SHARED, prefix.shape[1])) & (least == pivot)
+        # where hardly a pivot is left all vectors are neighbours; a pair belongs to its least pivot's list
+        near = (hot[a] @ peers >= min(SHARED, prefix.shape[1])) & (lower[a] @ lower_peers == 0)
         if same:
             near &= (at + np.arange(len(a)))[:, None] < np.arange(len(right))[None, :]
         i, j = np.nonzero(near)
