@@ -318,13 +318,3 @@ def test_datasets_with_unlike_times(spark):
     assert e.search(["a", "b"], max="k").first()["int_value"] == 5
     with pytest.raises(search.ArgumentError):
         e.search(["a", "c"], count_by_time=1000)
-
-
-def test_deep_keys_are_found(spark):
-    text = '"needle"'
-    for n in range(20):
-        text = f'{{"k{n}": {text}}}'
-    df = spark.createDataFrame([(1, text), (2, "{}")], "id int, body string")
-    e = Engine(spark)
-    e.register("deep", df, json_columns=("body",))
-    assert [r["id"] for r in e.search("deep", "needle").collect()] == [1]
