@@ -34,6 +34,16 @@ SUBTRIE = 1 << 14
 FRONTIER = 1 << 18
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, the highest bit first."""
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, count: int) -> int:
+    """The bits set in over half of ``count`` hashes, of which ``ones`` have each."""
+    return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
+
+
 def fingerprint(text: str, words: int = WORDS, block: int = 1 << 15) -> int:
     """SimHash of the word shingles, each as often as it occurs; bytes.lower folds A-Z alone
     and bytes.split cuts at ASCII white space alone."""
@@ -48,9 +58,8 @@ def fingerprint(text: str, words: int = WORDS, block: int = 1 << 15) -> int:
     for at in range(0, count, block):
         part = found[at : at + block + words - 1]
         grams = zip(*(part[k:] for k in range(words)))
-        hashes = np.array([digest(join(g), SEED) for g in grams], ">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > count).tobytes(), "big")
+        ones += bit_counts(np.array([digest(join(g), SEED) for g in grams], np.uint64))
+    return majority(ones, count)
 
 
 def fingerprint_batches(batches, words: int):
