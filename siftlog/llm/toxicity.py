@@ -98,19 +98,20 @@ def fit(texts: list[str], labels, epochs: int = 60, batch: int = 64, rate: float
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
         return {"weights": None, "bias": float(np.log(max(share, 1e-12) / max(1 - share, 1e-12)))}
+    low_texts = low(texts)
     counts = np.zeros((2, 1 << BITS))
-    ends, parts = [0], []
-    for a, b, doc, code in features(low(texts)):
-        counts += np.stack([np.bincount(code[labels[a + doc] == k], minlength=1 << BITS) for k in (0, 1)])
-        ends += (ends[-1] + np.cumsum(np.bincount(doc, minlength=b - a))).tolist()
-        parts.append(code.astype(np.int32))
+    for a, _, doc, code in features(low_texts):
+        for k in (0, 1):
+            counts[k] += np.bincount(code[labels[a + doc] == k], minlength=1 << BITS)
     size = np.array([(labels == 0).sum(), (labels == 1).sum()], float)
     alive = telling(counts, size)
-    code, ends = np.concatenate(parts), np.array(ends)
-    keep = alive[code]
-    before = np.concatenate([[0], np.cumsum(keep)])
-    ends, number = before[ends], np.cumsum(alive) - 1
-    code = number[code[keep]].astype(np.int32)
+    # a second reading costs a second or two; what features there are of all kinds, some hundreds of MB
+    number = (np.cumsum(alive) - 1).astype(np.int32)
+    sizes, parts = np.zeros(len(labels), np.int64), []
+    for a, b, doc, code in features(low_texts, alive):
+        sizes[a:b] = np.bincount(doc, minlength=b - a)
+        parts.append(number[code])
+    ends, code = np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(parts)
     ratio = log_ratios(counts, alive)
     # classes weigh alike in the slope
     weight = np.where(labels == 1, 0.5 / size[1], 0.5 / size[0]) * len(labels)
