@@ -326,52 +326,76 @@ def pieces_of(chunk: str) -> list[str]:
     return _PIECES.findall(chunk)
 
 
-class ChunkMemo(dict):
-    """chunk -> what ``made`` makes of its ids; ``learn`` fills in what a batch lacks."""
+class ChunkMemo:
+    """chunk -> what ``made`` makes of its ids (None: the ids as they are, little-endian unsigned
+    32-bit integers). Two generations of MEMO / 2 entries: when the young one is full it becomes the
+    old one, and what is met again there comes back without being merged anew."""
 
-    def __init__(self, codec: Codec, made) -> None:
-        super().__init__()
+    def __init__(self, codec: Codec, made=None) -> None:
         self.codec, self.made = codec, made
-
-    def learn(self, chunks: set[str]) -> None:
-        lacking = [c for c in chunks if c not in self]
-        if len(self) + len(lacking) > MEMO:
-            self.clear()
-            lacking = list(chunks)
-        drift = [c for c in lacking if not c.isascii() and _DRIFT.search(c)]
-        if drift:
-            for chunk in drift:
-                self[chunk] = self.made(np.array(self.codec.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes())
-            lacking = [c for c in lacking if c not in self]
-        pieces = list(map(pieces_of, lacking))
-        words = list({w for p in pieces for w in p})
-        ids = dict(zip(words, self.codec.word_batch(words)))
-        made = self.made
-        for chunk, p in zip(lacking, pieces):
-            self[chunk] = made(ids[p[0]] if len(p) == 1 else b"".join([ids[w] for w in p]))
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def learn(self, lacking: set[str]) -> None:
+        """Fills in chunks that neither generation has."""
+        words, rest, drift = [], [], []
+        for chunk in lacking:
+            if not chunk.isascii() and _DRIFT.search(chunk):
+                drift.append(chunk)
+            elif chunk.isalpha():
+                words.append(chunk)
+            else:
+                rest.append(chunk)
+        pieces = list(map(pieces_of, rest))
+        ids = dict.fromkeys(words)
+        need = {w for p in pieces for w in p} - ids.keys()
+        if self.made is None:  # a word may be known as a chunk
+            ids.update((w, x) for w in need if (x := self.young.get(w) or self.old.get(w)))
+            need -= ids.keys()
+        todo = [*words, *need]
+        ids.update(zip(todo, self.codec.word_batch(todo)))
+        got = {c: np.array(self.codec.library.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in drift}
+        got.update(zip(words, map(ids.__getitem__, words)))
+        got.update((c, b"".join([ids[w] for w in p])) for c, p in zip(rest, pieces))
+        if len(self.young) + len(got) > MEMO // 2:
+            self.old, self.young = self.young, {}
+        self.young.update(got if self.made is None else zip(got, map(self.made, got.values())))
 
     def parts(self, texts: list[str]):
         """For each text the list of what was made of its chunks and special strings."""
-        cut = []
+        flat, found, ends, marks = [], [], [], []
+        get = self.young.get
         for text in texts:
-            cut.append([part if k % 2 else self.codec.chunks(part) for k, part in enumerate(self.codec.segments(text))])
-        need: set[str] = set()
-        for segments in cut:
-            for s in segments[::2]:
-                need.update(s)
-        self.learn(need)
-        get = self.__getitem__
-        for segments in cut:
-            if len(segments) == 1:
-                yield list(map(get, segments[0]))
-            else:
-                out: list = []
-                for k, s in enumerate(segments):
-                    if k % 2:
-                        out.append(self.made(np.array([self.codec.special[s]], "<u4").tobytes()))
-                    else:
-                        out += map(get, s)
-                yield out
+            for k, s in enumerate(self.codec.segments(text)):
+                if k % 2:  # the empty string, which is no chunk, keeps its place
+                    marks.append((len(flat), s))
+                    flat.append("")
+                    found.append(None)
+                else:
+                    chunks = self.codec.chunks(s)
+                    flat += chunks
+                    found += map(get, chunks)
+            ends.append(len(flat))
+        misses = [i for i, x in enumerate(found) if x is None]
+        if misses:
+            missing = {flat[i] for i in misses} - {""}
+            again = {c: x for c in missing if (x := self.old.get(c)) is not None}
+            if len(self.young) + len(again) > MEMO // 2:
+                self.old, self.young = self.young, {}
+            self.young.update(again)
+            missing -= again.keys()
+            if missing:
+                self.learn(missing)
+            get = self.young.get
+            for i in misses:
+                found[i] = get(c := flat[i]) or again.get(c, b"")
+        for i, s in marks:
+            raw = np.array([self.codec.special[s]], "<u4").tobytes()
+            found[i] = raw if self.made is None else self.made(raw)
+        start = 0
+        for end in ends:
+            yield found[start:end]
+            start = end
 
 
 def as_text(codec: Codec):
@@ -386,11 +410,6 @@ def as_text(codec: Codec):
     return made
 
 
-def as_bytes(codec: Codec):
-    """Ids as they are: little-endian unsigned 32-bit integers."""
-    return lambda raw: raw
-
-
 @lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
     return Codec(path)
@@ -399,7 +418,7 @@ def codec(path: str) -> Codec:
 @lru_cache(maxsize=4)
 def memo(path: str, kind: str) -> ChunkMemo:
     book = codec(path)
-    return ChunkMemo(book, {"text": as_text, "bytes": as_bytes}[kind](book))
+    return ChunkMemo(book, as_text(book) if kind == "text" else None)
 
 
 def id_list(raw: list[bytes]) -> pa.Array:
