@@ -6,7 +6,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,11 +36,17 @@ def quantified(df: DataFrame, column: str, op: str, how: str, values: DataFrame)
     return df.where(tests[op][1]) if known else df.where(F.lit(False))
 
 
-#: A GROUPS frame is a RANGE frame over the dense rank of the order key.
-GROUPS_SQL = """
-SELECT {columns}, sum({value}) OVER (ORDER BY _rank RANGE BETWEEN {before} PRECEDING AND {after} FOLLOWING) AS {name}
-FROM (SELECT *, dense_rank() OVER (ORDER BY {key}) AS _rank FROM {table})
-"""
+def groups_sum(df: DataFrame, columns: list[str], key: Column, value: Column, before: int, after: int, name: str, few: bool = False) -> DataFrame:
+    """``columns``, and as ``name`` sum(value) OVER (ORDER BY key NULLS LAST GROUPS BETWEEN before PRECEDING AND after FOLLOWING).
+
+    Rows of one key have one frame. So rows are summed up by key where they lie, the window is over one row
+    a key, in one task, and its sums go back by a join. few: the keys are so few that their sums may be broadcast.
+    """
+    rows = df.select(*columns, key.alias("_key"), value.alias("_value"))
+    sums = rows.groupBy(F.col("_key").alias("_of")).agg(F.sum("_value").alias("_sum"))
+    frame = Window.orderBy(F.asc_nulls_last("_of")).rowsBetween(-before, after)
+    framed = sums.select("_of", F.sum("_sum").over(frame).alias(name))
+    return rows.join(F.broadcast(framed) if few else framed, F.col("_key").eqNullSafe(F.col("_of"))).select(*columns, name)
 
 
 def from_unixtime(column: Column) -> Column:
